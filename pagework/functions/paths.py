@@ -91,15 +91,17 @@ def asset_suffix(name: Column, kind: Column, layout: Layout) -> Column:
 
 def asset_folder(suffix: Column, kind: Column, layout: Layout) -> Column:
     """Folder of an asset. The declared kind beats the suffix for css and js only."""
-    low = F.lower(suffix)
-    folder = (
-        F.when((kind == "css") | (low == ".css"), F.lit("css"))
-        .when((kind == "js") | (low == ".js"), F.lit("js"))
-        .when(low.isin(IMAGE_SUFFIXES), F.lit("images"))
-        .when(low.isin(FONT_SUFFIXES), F.lit("fonts"))
-        .otherwise(F.lit("other"))
-    )
-    return F.concat(F.lit(layout.prefix), folder)
+
+    def choose(low: Column) -> Column:
+        return (
+            F.when((kind == "css") | (low == ".css"), F.lit("css"))
+            .when((kind == "js") | (low == ".js"), F.lit("js"))
+            .when(low.isin(IMAGE_SUFFIXES), F.lit("images"))
+            .when(low.isin(FONT_SUFFIXES), F.lit("fonts"))
+            .otherwise(F.lit("other"))
+        )
+
+    return F.concat(F.lit(layout.prefix), let(F.lower(suffix), choose))
 
 
 def hashed_name(name: Column, suffix: Column, url: Column) -> Column:
@@ -129,11 +131,14 @@ def page_path_tree(url: Column) -> Column:
 
 def page_path_flat(url: Column) -> Column:
     """File name of a page in a flat copy: the last word of its path."""
-    path = F.regexp_replace(url_path(url), r"^/+|/+$", "")
-    stem = stem_of(base_name(path))
-    return F.when(path == "", F.lit("index.html")).otherwise(
-        F.concat(F.regexp_replace(stem, r"[^a-zA-Z0-9_-]", "-"), F.lit(".html"))
-    )
+
+    def place(path: Column) -> Column:
+        stem = stem_of(base_name(path))
+        return F.when(path == "", F.lit("index.html")).otherwise(
+            F.concat(F.regexp_replace(stem, r"[^a-zA-Z0-9_-]", "-"), F.lit(".html"))
+        )
+
+    return let(F.regexp_replace(url_path(url), r"^/+|/+$", ""), place)
 
 
 def relative_path(target: Column, folder: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # scheme, netloc, path, query, fragment; a missing part is the empty string.
@@ -25,6 +25,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A filter on a projected column is pushed below the projection and computes the column a second
+    time. A generator stops that, which pays where the column is costly.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline_outer(F.array(made)))
+
+
 def tidy(url: Column) -> Column:
     """Drop what a URL parser ignores: leading blanks and any tab or line break."""
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
@@ -32,14 +43,17 @@ def tidy(url: Column) -> Column:
 
 def split_url(url: Column) -> Column:
     """STRUCT<scheme, netloc, path, query, fragment>. Never fails, whatever the text is."""
-    text = tidy(url)
-    return F.struct(
-        F.lower(F.regexp_extract(text, URL_PARTS, 1)).alias("scheme"),
-        F.regexp_extract(text, URL_PARTS, 2).alias("netloc"),
-        F.regexp_extract(text, URL_PARTS, 3).alias("path"),
-        F.regexp_extract(text, URL_PARTS, 4).alias("query"),
-        F.regexp_extract(text, URL_PARTS, 5).alias("fragment"),
-    )
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(text, URL_PARTS, 1)).alias("scheme"),
+            F.regexp_extract(text, URL_PARTS, 2).alias("netloc"),
+            F.regexp_extract(text, URL_PARTS, 3).alias("path"),
+            F.regexp_extract(text, URL_PARTS, 4).alias("query"),
+            F.regexp_extract(text, URL_PARTS, 5).alias("fragment"),
+        )
+
+    return let(tidy(url), parts)
 
 
 def join_url(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:

@@ -45,10 +45,14 @@ INLINE_STYLE_RANK = ICON_RANK + 1
 
 
 def _tagged(pages: DataFrame, tags: Sequence[str] | None) -> DataFrame:
-    """One row per wanted opening tag: the page's columns, ``pos`` and ``raw``."""
+    """One row per wanted opening tag: the page's columns, ``pos`` and ``raw``.
+
+    The outer form of the generator keeps the optimizer from testing the array for emptiness first,
+    which would cut every page into tokens twice.
+    """
     kept = [c for c in pages.columns if c != "html"]
     return (
-        pages.select(*kept, F.posexplode(marked_tokens(F.col("html"), tags)).alias("pos", "_token"))
+        pages.select(*kept, F.posexplode_outer(marked_tokens(F.col("html"), tags)).alias("pos", "_token"))
         .filter(F.col("_token") != "")
         .select(*kept, F.col("pos").cast("long").alias("pos"), opening_tag(F.col("_token")).alias("raw"))
     )
@@ -67,12 +71,8 @@ def elements(pages: DataFrame, tags: Sequence[str] | None = None) -> DataFrame:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """``a`` elements with an ``href``, which may be empty."""
-    return (
-        _tagged(pages, ["a"])
-        .withColumn("href", attribute_of(F.col("raw"), "href"))
-        .drop("raw")
-        .filter(F.col("href").isNotNull())
-    )
+    tagged = urls.once(_tagged(pages, ["a"]), href=attribute_of(F.col("raw"), "href"))
+    return tagged.drop("raw").filter(F.col("href").isNotNull())
 
 
 def rel_tokens(rel: Column) -> Column:
@@ -183,8 +183,8 @@ def page_refs(pages: DataFrame, profile: str = "full", saved: bool = False) -> D
         "_base",
         "_base_parts",
         "pos",
-        F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"),
-    )
+        F.explode_outer(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"),
+    ).filter(F.col("s").isNotNull())
     value = F.col("s.value")
     candidates = (
         F.when(F.col("s.slot") == "srcset", srcset_candidates(value))
@@ -200,8 +200,8 @@ def page_refs(pages: DataFrame, profile: str = "full", saved: bool = False) -> D
         "s.kind",
         "s.rank",
         F.when(F.col("s.slot") == "style", value).alias("holder"),
-        F.inline(candidates),
-    ).filter(~is_embedded(F.col("ref")))
+        F.inline_outer(candidates),
+    ).filter(F.col("ref").isNotNull() & ~is_embedded(F.col("ref")))
     if saved:
         parts = parts.filter(urls.is_resolvable(F.col("ref"), F.col("_base")))
         target = urls.resolve_saved(F.col("_base"), F.col("ref"))

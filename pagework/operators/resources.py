@@ -33,8 +33,8 @@ def is_fetched(status: Column) -> Column:
 def css_refs(sheets: DataFrame) -> DataFrame:
     """References inside style sheets ``(url, content)``, fonts and embedded data left out."""
     return (
-        sheets.select(F.col("url").alias("sheet_url"), F.inline(css_urls(F.col("content"))))
-        .filter(~is_kept(F.col("ref")))
+        sheets.select(F.col("url").alias("sheet_url"), F.inline_outer(css_urls(F.col("content"))))
+        .filter(F.col("ref").isNotNull() & ~is_kept(F.col("ref")))
         .select(
             "sheet_url",
             F.col("pos").alias("css_pos"),

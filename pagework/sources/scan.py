@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagework.functions.urls import netloc_of
 
+HTML_FILES = "*.{html,htm}"
+
 
 def scan_pages(raw: DataFrame) -> DataFrame:
     """``(site, url, page_order, html)`` from a table ``(page_id, url, html[, status])``.
@@ -26,40 +28,30 @@ def decode_text(content: Column) -> Column:
 
 
 def list_html_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, length)`` of all ``.html`` and ``.htm`` files below a folder; names only, no bodies."""
-    found = _html_files(spark, folder)
-    return found.select(_inside(F.col("path"), folder).alias("path"), "length")
+    """``(path, length)`` of all ``.html`` and ``.htm`` files below a folder; bodies are not read."""
+    return _files(spark, folder, HTML_FILES).select("path", "length")
 
 
 def scan_html_files(spark: SparkSession, folder: str, site: str = "") -> DataFrame:
     """Saved site below a folder as ``(site, path, html)``."""
-    return _html_files(spark, folder).select(
-        F.lit(site).alias("site"),
-        _inside(F.col("path"), folder).alias("path"),
-        decode_text(F.col("content")).alias("html"),
+    return _files(spark, folder, HTML_FILES).select(
+        F.lit(site).alias("site"), "path", decode_text(F.col("content")).alias("html")
     )
 
 
 def list_files(spark: SparkSession, folder: str, site: str = "") -> DataFrame:
     """``(site, path)`` of every file below a folder, whatever its kind."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return found.select(F.lit(site).alias("site"), _inside(F.col("path"), folder).alias("path"))
+    return _files(spark, folder, "*").select(F.lit(site).alias("site"), "path")
 
 
-def _html_files(spark: SparkSession, folder: str) -> DataFrame:
-    return (
+def _files(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = store.makeQualified(where).toString()
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{html,htm}")
+        .option("pathGlobFilter", names)
         .load(folder)
     )
-
-
-def _inside(path: Column, folder: str) -> Column:
-    """Path below the folder, with the scheme and the folder taken off."""
-    root = folder.split("://", 1)[-1].rstrip("/")
-    if not root.startswith("/"):
-        root = "/" + root.split("/", 1)[-1] if "://" in folder else root
-    plain = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:/*(?=/)", "")
-    at = F.locate(root.lstrip("/") + "/", plain)
-    return F.substring(plain, at + F.lit(len(root.lstrip("/")) + 1), F.length(plain))
+    return found.withColumn("path", F.substring("path", F.lit(len(root) + 2), F.length("path")))
