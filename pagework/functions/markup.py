@@ -84,6 +84,7 @@ def tag_name(tag: Column) -> Column:
 
 # The named character references that are decoded. Numeric ones always are.
 NAMED_REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+WHITE_SPACE = " \t\n\r\f\v"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
 
 
@@ -126,19 +127,26 @@ def encode_value(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
 
 
+def _written_name(piece: Column) -> Column:
+    return F.rtrim(F.substring_index(piece, "=", 1), F.lit(WHITE_SPACE))
+
+
 def _piece_name(piece: Column) -> Column:
-    return F.lower(F.regexp_extract(piece, r"^[^\s/>=]+", 0))
+    return F.lower(_written_name(piece))
 
 
 def _piece_value(piece: Column) -> Column:
-    written = F.regexp_replace(piece, r"^[^\s/>=]++(?:\s*+=\s*+)?+", "")
+    written = F.ltrim(
+        F.substring(piece, F.length(F.substring_index(piece, "=", 1)) + 2, F.length(piece)),
+        F.lit(WHITE_SPACE),
+    )
     bare = let(
         written,
         lambda w: F.when(
             w.startswith('"') | w.startswith("'"), F.substring(w, F.lit(2), F.length(w) - 2)
         ).otherwise(w),
     )
-    return decode_references(bare)
+    return let(bare, decode_references)
 
 
 def attributes(tag: Column) -> Column:
@@ -167,36 +175,37 @@ def attribute_of(tag: Column, name: str) -> Column:
 def set_attributes(token: Column, edits: Column) -> Column:
     """Token with attributes replaced, or added if absent. ``edits``: ARRAY<STRUCT<name, value>>."""
 
-    def edited(head: Column) -> Column:
-        pieces = F.regexp_extract_all(head, F.lit(TAG_PIECE), F.lit(0))
-
-        def value_for(piece: Column) -> Column:
-            return F.try_element_at(F.filter(edits, lambda e: e["name"] == _piece_name(piece)), F.lit(-1))
-
-        def written(name: Column, value: Column) -> Column:
-            return F.concat(name, F.lit('="'), encode_value(value), F.lit('"'))
-
-        def replaced(piece: Column, i: Column) -> Column:
-            name = F.regexp_extract(piece, r"^[^\s/>=]+", 0)
-            return F.when((i == 0) | (name == ""), piece).otherwise(
-                F.coalesce(let(value_for(piece), lambda e: written(name, e["value"])), piece)
-            )
+    def written(name: Column, value: Column) -> Column:
+        return F.concat(name, F.lit('="'), encode_value(value), F.lit('"'))
+
+    def replaced(piece: Column, i: Column) -> Column:
+        name = _piece_name(piece)
+        edit = F.try_element_at(F.filter(edits, lambda e: e["name"] == name), F.lit(-1))
+        new = let(edit, lambda e: written(_written_name(piece), e["value"]))
+        return F.when(i == 0, piece).otherwise(F.coalesce(new, piece))
+
+    def with_added(head: Column, pieces: Column) -> Column:
+        present = F.transform(pieces, _piece_name)
+        absent = F.array_except(F.transform(edits, lambda e: e["name"]), present)
+        added = F.transform(
+            F.filter(edits, lambda e: F.array_contains(absent, e["name"])),
+            lambda e: F.concat(F.lit(" "), written(e["name"], e["value"])),
+        )
+        ending = F.regexp_extract(head, r"\s*/?>$", 0)
+        body = F.substring(head, F.lit(1), F.length(head) - F.length(ending))
+        return F.when(F.size(absent) == 0, head).otherwise(
+            F.concat(body, F.array_join(added, ""), ending)
+        )
 
-        def finished(new: Column) -> Column:
-            present = F.transform(pieces, _piece_name)
-            absent = F.filter(edits, lambda e: ~F.array_contains(present, e["name"]))
-            added = F.array_join(
-                F.transform(absent, lambda e: F.concat(F.lit(" "), written(e["name"], e["value"]))), ""
-            )
-            ending = F.regexp_extract(new, r"\s*/?>$", 0)
-            body = F.substring(new, F.lit(1), F.length(new) - F.length(ending))
-            return F.when(added == "", new).otherwise(F.concat(body, added, ending))
+    def new_head(pieces: Column) -> Column:
+        return let(F.array_join(F.transform(pieces, replaced), ""), lambda h: with_added(h, pieces))
 
-        new_head = let(F.array_join(F.transform(pieces, replaced), ""), finished)
+    def edited(head: Column) -> Column:
         rest = F.substring(token, F.length(head) + 1, F.length(token))
-        return F.concat(new_head, rest)
+        pieces = F.regexp_extract_all(head, F.lit(TAG_PIECE), F.lit(0))
+        return F.concat(let(pieces, new_head), rest)
 
-    return let(head_of(token), edited)
+    return let(F.when(has_body(token), head_of(token)).otherwise(token), edited)
 
 
 def splice(toks: Column, edits: Column, apply) -> Column:
@@ -206,16 +215,21 @@ def splice(toks: Column, edits: Column, apply) -> Column:
     text. The unchanged stretches between edits are joined as slices, so the work is linear in the
     number of tokens however many edits there are.
     """
-    count = F.size(edits)
-
-    def stretch(i: Column) -> Column:
-        # Unchanged tokens before edit i (or up to the end), then the edited token.
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(edits, i - 1)["pos"] + 1)
-        stop = F.when(i == count, F.size(toks)).otherwise(F.get(edits, i)["pos"])
-        kept = F.array_join(F.slice(toks, (start + 1).cast("int"), (stop - start).cast("int")), "")
-        changed = F.when(i == count, F.lit("")).otherwise(
-            let(F.get(edits, i), lambda e: apply(F.get(toks, e["pos"].cast("int")), e))
-        )
-        return F.concat(kept, changed)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), count), stretch), "")
+    def joined(given: Column) -> Column:
+        toks, edits = given["toks"], given["edits"]
+        count = F.size(edits)
+
+        def stretch(i: Column) -> Column:
+            # Unchanged tokens before edit i (or up to the end), then the edited token.
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(edits, i - 1)["pos"] + 1)
+            stop = F.when(i == count, F.size(toks)).otherwise(F.get(edits, i)["pos"])
+            kept = F.array_join(F.slice(toks, (start + 1).cast("int"), (stop - start).cast("int")), "")
+            changed = F.when(i == count, F.lit("")).otherwise(
+                let(F.get(edits, i), lambda e: apply(F.get(toks, e["pos"].cast("int")), e))
+            )
+            return F.concat(kept, changed)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), count), stretch), "")
+
+    return let(F.struct(toks.alias("toks"), edits.alias("edits")), joined)

@@ -62,9 +62,13 @@ def suffix_of(name: Column) -> Column:
     return F.regexp_extract(name, STEM_AND_SUFFIX, 2)
 
 
+def without_parameters(path: Column) -> Column:
+    """URL path without the ``;parameters`` of its last segment."""
+    return F.when(path.contains(";"), F.regexp_replace(path, r";[^/]*$", "")).otherwise(path)
+
+
 def url_path(url: Column) -> Column:
-    """Path of a URL without the ``;parameters`` of its last segment."""
-    return let(split_url(url), lambda p: F.regexp_replace(p["path"], r";[^/]*$", ""))
+    return let(let(split_url(url), lambda p: p["path"]), without_parameters)
 
 
 def clean_name(name: Column) -> Column:
@@ -110,7 +114,6 @@ def hashed_name(name: Column, suffix: Column, url: Column) -> Column:
 
 def page_path_tree(url: Column) -> Column:
     """Path of a page that keeps the shape of the site."""
-    path = F.regexp_replace(url_path(url), r"^/+|/+$", "")
 
     def place(p: Column) -> Column:
         return (
@@ -125,8 +128,13 @@ def page_path_tree(url: Column) -> Column:
         folder = F.substring(p, F.lit(1), F.length(p) - F.length(name))
         return F.concat(folder, hashed_name(name, F.lit(".html"), url))
 
-    has_query = let(split_url(url), lambda p: p["query"] != "")
-    return let(let(path, place), lambda p: F.when(has_query, with_query(p)).otherwise(p))
+    def of_parts(parts: Column) -> Column:
+        path = F.trim(without_parameters(parts["path"]), F.lit("/"))
+        return let(
+            let(path, place), lambda p: F.when(parts["query"] != "", with_query(p)).otherwise(p)
+        )
+
+    return let(split_url(url), of_parts)
 
 
 def page_path_flat(url: Column) -> Column:
@@ -138,7 +146,7 @@ def page_path_flat(url: Column) -> Column:
             F.concat(F.regexp_replace(stem, r"[^a-zA-Z0-9_-]", "-"), F.lit(".html"))
         )
 
-    return let(F.regexp_replace(url_path(url), r"^/+|/+$", ""), place)
+    return let(F.trim(url_path(url), F.lit("/")), place)
 
 
 def relative_path(target: Column, folder: Column) -> Column:
@@ -153,12 +161,16 @@ def relative_path(target: Column, folder: Column) -> Column:
         rest = F.slice(there, shared + 1, F.size(there) - shared)
         return F.array_join(F.concat(ups, rest), "/")
 
-    deep = let(F.split(target, "/", -1), lambda t: let(F.split(folder, "/", -1), lambda h: climb(t, h)))
-    return (
-        F.when(folder == "", target)
-        .when(folder == target, F.lit("."))
-        .otherwise(deep)
-    )
+    def between(p: Column) -> Column:
+        there, here = F.split(p["target"], "/", -1), F.split(p["folder"], "/", -1)
+        deep = let(there, lambda t: let(here, lambda h: climb(t, h)))
+        return (
+            F.when(p["folder"] == "", p["target"])
+            .when(p["folder"] == p["target"], F.lit("."))
+            .otherwise(deep)
+        )
+
+    return let(F.struct(target.alias("target"), folder.alias("folder")), between)
 
 
 def language_file(lang: Column) -> Column:

@@ -12,11 +12,13 @@ URL_PARTS = (
     r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
 )
 
+MARK = "\x01"
+MARKED_PARTS = MARK.join(f"${i}" for i in range(1, 6))
+BLANKS = "".join(chr(c) for c in range(0x21))
+
 # Schemes whose references may be relative to a base of the same scheme.
 HIERARCHICAL_SCHEMES = ["", "file", "ftp", "http", "https", "sftp", "ws", "wss"]
 
-WEB_SCHEMES = ["http", "https"]
-
 DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 
 
@@ -38,21 +40,28 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def tidy(url: Column) -> Column:
     """Drop what a URL parser ignores: leading blanks and any tab or line break."""
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(BLANKS))
 
 
 def split_url(url: Column) -> Column:
     """STRUCT<scheme, netloc, path, query, fragment>. Never fails, whatever the text is."""
 
-    def parts(text: Column) -> Column:
+    def named(part: Callable[[int], Column]) -> Column:
         return F.struct(
-            F.lower(F.regexp_extract(text, URL_PARTS, 1)).alias("scheme"),
-            F.regexp_extract(text, URL_PARTS, 2).alias("netloc"),
-            F.regexp_extract(text, URL_PARTS, 3).alias("path"),
-            F.regexp_extract(text, URL_PARTS, 4).alias("query"),
-            F.regexp_extract(text, URL_PARTS, 5).alias("fragment"),
+            F.lower(part(1)).alias("scheme"),
+            part(2).alias("netloc"),
+            part(3).alias("path"),
+            part(4).alias("query"),
+            part(5).alias("fragment"),
         )
 
+    def parts(text: Column) -> Column:
+        # One match marks all parts; text that holds the mark itself is matched part by part.
+        marked = F.split(F.regexp_replace(text, URL_PARTS, MARKED_PARTS), MARK, -1)
+        return F.when(
+            text.contains(MARK), named(lambda i: F.regexp_extract(text, URL_PARTS, i))
+        ).otherwise(let(marked, lambda m: named(lambda i: F.get(m, F.lit(i - 1)))))
+
     return let(tidy(url), parts)
 
 
@@ -88,15 +97,28 @@ def remove_dot_segments(path: Column) -> Column:
 
 
 def _merge(base_path: Column, ref_path: Column) -> Column:
-    folder = F.regexp_extract(base_path, r"^[\s\S]*/", 0)
+    last = F.substring_index(base_path, "/", -1)
+    folder = F.substring(base_path, F.lit(1), F.length(base_path) - F.length(last))
+
+    def fold(path: Column) -> Column:
+        dotted = (path.contains("/.") | path.startswith(".")) & path.rlike(DOT_SEGMENT)
+        return F.when(dotted, remove_dot_segments(path)).otherwise(path)
+
+    def on_base(path: Column) -> Column:
+        return let(
+            F.concat(folder, path),
+            lambda p: F.when(p.contains("//"), F.regexp_replace(p, "/{2,}", "/")).otherwise(p),
+        )
+
+    def merged(path: Column) -> Column:
+        return let(F.when(path.startswith("/"), path).otherwise(on_base(path)), fold)
+
     # The ;parameters of the last segment take no part in folding.
     parameters = F.regexp_extract(ref_path, r";[^/]*$", 0)
     plain = F.substring(ref_path, F.lit(1), F.length(ref_path) - F.length(parameters))
-    merged = F.when(ref_path.startswith("/"), plain).otherwise(
-        F.regexp_replace(F.concat(folder, plain), "/{2,}", "/")
+    return F.when(ref_path.contains(";"), F.concat(merged(plain), parameters)).otherwise(
+        merged(ref_path)
     )
-    folded = let(merged, lambda p: F.when(p.rlike(DOT_SEGMENT), remove_dot_segments(p)).otherwise(p))
-    return F.concat(folded, parameters)
 
 
 def resolve_parts(base: Column, base_parts: Column, ref: Column) -> Column:
@@ -164,22 +186,32 @@ def netloc_of(url: Column) -> Column:
 def normalize(url: Column, site_root: Column) -> Column:
     """Identity of a page: no fragment, no final slash unless it is the site root."""
 
-    def plain(p: Column) -> Column:
-        return join_url(p["scheme"], p["netloc"], p["path"], p["query"], F.lit(""))
+    def plain(u: Column) -> Column:
+        is_plain = (
+            (u.startswith("http://") | u.startswith("https://"))
+            & (u == tidy(u))
+            & ~(u.contains("#") | u.endswith("?") | u.contains(":///"))
+        )
+        parsed = let(
+            split_url(u),
+            lambda p: join_url(p["scheme"], p["netloc"], p["path"], p["query"], F.lit("")),
+        )
+        return F.when(is_plain, u).otherwise(parsed)
 
     def strip(n: Column) -> Column:
         return F.when(
             n.endswith("/") & (n != site_root), F.substring(n, F.lit(1), F.length(n) - 1)
         ).otherwise(n)
 
-    return let(let(split_url(url), plain), strip)
+    return let(let(url, plain), strip)
 
 
 def is_same_site(url: Column, site: Column, strict_reference: bool = False) -> Column:
     """``site`` is a host with its port. ``strict_reference`` also accepts URLs without a host."""
     if strict_reference:
-        return let(split_url(url), lambda p: (p["netloc"] == site) | (p["netloc"] == ""))
-    return let(split_url(url), lambda p: p["scheme"].isin(WEB_SCHEMES) & (p["netloc"] == site))
+        return let(netloc_of(url), lambda host: (host == site) | (host == ""))
+    host = F.regexp_extract(tidy(url), r"^(?i:https?)://([^/?#]*)", 1)
+    return let(host, lambda h: (h != "") & (h == site))
 
 
 def short_hash(url: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Work on text costs far more per byte than the default assumes; small inputs keep their tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Page text meets its edits by a hash join where the edits of a partition are small, so that the
     # text is not sorted; adaptive execution checks the size.

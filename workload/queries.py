@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The given tables are single files of one row group, which one task would read and work on.
+    Rows of such a table are spread over the cores first; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, body: str = "select * from {}") -> DataFrame:
+    sql = with_views([name], body.format(name))
     for base in BASE_TABLES:
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
-    return spark.sql(with_views([name], body.format(name)))
+        if re.search(rf"\bfrom {base}\b", sql):
+            table(spark, sf_dir, base).createOrReplaceTempView(base)
+    return spark.sql(sql)
 
 
 def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_pages(table(spark, sf_dir, "pages"))
+    return scan_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "fx_links")
+    return spread(view(spark, sf_dir, "fx_links"))
 
 
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
