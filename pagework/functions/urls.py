@@ -68,11 +68,15 @@ def split_url(url: Column) -> Column:
 def join_url(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
     """Put the parts of a URL together again; empty parts leave no separator behind."""
     none = F.lit("")
+
+    def rooted(p: Column) -> Column:
+        lacks_slash = (netloc != "") & (p != "") & ~p.startswith("/")
+        return F.when(lacks_slash, F.concat(F.lit("/"), p)).otherwise(p)
+
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(none),
         F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(none),
-        F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise(none),
-        path,
+        let(path, rooted),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(none),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(none),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pagework.operators.variants import switcher_script
 from workload import duck as d
 from workload.views import with_views
 
@@ -351,14 +352,23 @@ ORACLES["bundle_text"] = _fx(
 )
 
 
+def _new_tag(css: str, js: str) -> str:
+    return f"""case when not t.ok then t.tag when t.ref_kind = 'css' then {css} when t.ref_kind = 'js' then {js}
+     when t.slot = 'style' then '<div style="color:red;background:url(' || t.local_path || ')"></div>'
+     when t.slot = 'srcset' then '<img srcset="' || t.local_path || ' 1x">'
+     else replace(t.tag, t.raw_ref, t.local_path) end"""
+
+
+NEW_TAG = _new_tag(
+    "case when t.pos = t.first_css then '<link rel=\"stylesheet\" href=\"css/all-styles.css\">' else '' end",
+    "case when t.pos = t.first_js then '<script src=\"js/all-scripts.js\"></script>' else '' end",
+)
+LOCAL_TAG = "replace(t.tag, t.raw_ref, t.local_path)"
+
+
 def new_tags(consolidate: bool) -> list[tuple[str, str]]:
     """Steps up to ``rewritten``: the made pages with local addresses."""
-    if consolidate:
-        css = "case when t.pos = t.first_css then '<link rel=\"stylesheet\" href=\"css/all-styles.css\">' else '' end"
-        js = "case when t.pos = t.first_js then '<script src=\"js/all-scripts.js\"></script>' else '' end"
-    else:
-        css = "replace(t.tag, t.raw_ref, t.local_path)"
-        js = css
+    new_tag = NEW_TAG if consolidate else _new_tag(LOCAL_TAG, LOCAL_TAG)
     return [
         *CATALOGUE,
         *MATCHED,
@@ -375,10 +385,7 @@ left join matched m on m.page_id = g.page_id and m.pos = g.pos and m.cand = 0"""
             "rewritten",
             f"""
 select page_id, site, url, head || string_agg(new_tag, '' order by pos) || tail as html from (
-  select t.*, case when not t.ok then t.tag when t.ref_kind = 'css' then {css} when t.ref_kind = 'js' then {js}
-     when t.slot = 'style' then '<div style="color:red;background:url(' || t.local_path || ')"></div>'
-     when t.slot = 'srcset' then '<img srcset="' || t.local_path || ' 1x">'
-     else replace(t.tag, t.raw_ref, t.local_path) end as new_tag from tag_rows t) u
+  select t.*, {new_tag} as new_tag from tag_rows t) u
 group by page_id, site, url, head, tail""",
         ),
     ]
@@ -532,6 +539,58 @@ ORACLES["lang_selector"] = _fx(
           and (c.name = 'onclick' or k.no = 0)""",
 )
 
+# The first language of a base page is rewritten with the assets of base pages alone; the others get
+# the bundles only. The selector items are edited in both, the script is added to both.
+LANGUAGE_REFS = [
+    ASSET_REFS[0],
+    ("refs", ASSET_REFS[1][1] + " where page_id in (select page_id from language_pages)"),
+]
+
+def _language_html(head: str, tags: str) -> str:
+    items = "".join(
+        f'<li class="item language_selector" data-language="{x}"'
+        + f' onclick="window.location.href=\'\'index-{x}.html\'\'" style="cursor: pointer;">{x}</li>'
+        for x in ("en", "fr", "de")
+    )
+    items += '<li class="item language_selector" data-language="xx">xx</li>'
+    script = switcher_script(["en", "fr", "de"]).replace("'", "''")
+    return (
+        f"{head} || {tags} || replace(tail, '</body>', '<ul>{items}</ul>{script}</body>')"
+    )
+
+
+ORACLES["mirror_languages"] = _fx(
+    [*FX_ALL, "fx_pages"],
+    f"""select site, path, html from (
+          select l.site, 'index-' || l.lang || '.html' as path, case when l.no = 0 then m.html else o.html end as html, l.no
+          from language_pages l left join main_html m on m.page_id = l.page_id left join other_html o on o.page_id = l.page_id) t
+        union all
+        select l.site, 'index.html' as path, m.html from language_pages l join main_html m on m.page_id = l.page_id where l.no = 0""",
+    [
+        *LANGUAGE_BASE,
+        *catalogue(refs=LANGUAGE_REFS),
+        *MATCHED,
+        *new_tags(True)[len(CATALOGUE) + len(MATCHED) : -1],
+        ("own_rows", "select * from tag_rows where page_id in (select page_id from language_pages)"),
+        (
+            "main_html",
+            f"""select page_id, {_language_html('head', "string_agg(new_tag, '' order by pos)")} as html from (
+                  select *, {NEW_TAG} as new_tag from own_rows t) u group by page_id, head, tail""",
+        ),
+        ("bundled", "select distinct site, kind from named where ok and kind in ('css', 'js')"),
+        (
+            "other_html",
+            f"""select page_id, {_language_html('head', "string_agg(new_tag, '' order by pos)")} as html from (
+                  select r.*, case when b.kind is null then r.tag
+                    when r.pos <> min(r.pos) over (partition by r.page_id, r.ref_kind) then ''
+                    when r.ref_kind = 'css' then '<link rel="stylesheet" href="css/all-styles.css">'
+                    else '<script src="js/all-scripts.js"></script>' end as new_tag
+                  from own_rows r left join bundled b on b.site = r.site and b.kind = r.ref_kind) u
+                group by page_id, head, tail""",
+        ),
+    ],
+)
+
 # --- repair
 
 ORACLES["broken_links"] = _fx(

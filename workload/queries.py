@@ -259,9 +259,10 @@ def base_detect(spark, sf_dir):
 
 def ref_asset_join(spark, sf_dir):
     refs = elements.page_refs(made_site_pages(spark, sf_dir))
+    refs = Scratch(spark).keep(refs.select("url", "pos", "cand_pos", "kind", "abs_url"), "refs")
     status = assets(spark, sf_dir).select(F.col("url").alias("abs_url"), "status")
     return (
-        lookup(refs.select("url", "pos", "cand_pos", "kind", "abs_url"), status, ["abs_url"])
+        lookup(refs, status, ["abs_url"])
         .withColumn("ok", resources.is_fetched(F.col("status")))
         .groupBy("url", "kind", "abs_url", "ok")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -469,6 +470,7 @@ def saved_site(spark, sf_dir):
 
 def broken_links(spark, sf_dir):
     rows = fx_links(spark, sf_dir).withColumn("path", paths.page_path_tree(F.col("url")))
+    rows = Scratch(spark).keep(rows, "links")
     files = view(spark, sf_dir, "fx_site_files")
     return linkfix.broken_links(rows, files).select("page_id", "pos", "href")
 
