@@ -17,6 +17,7 @@ from pagework.functions import paths
 from pagework.functions.css import splice_css
 from pagework.functions.markup import set_attributes, splice, tokens
 from pagework.functions.paths import Layout
+from pagework.operators.joins import lookup
 
 PAGE_KEY = ["site", "url"]
 
@@ -35,12 +36,13 @@ def asset_edits(matched: DataFrame, layout: Layout, consolidate: bool = True) ->
 
     ``matched`` comes from ``attach_resources``. A failed reference stays as it is. With
     ``consolidate`` the first style sheet and the first script of a page become the bundles; a flat
-    copy drops the others, a tree points them all at the bundle.
+    copy drops the others, a tree points them all at the bundle. A column ``base`` is the address that
+    decides where the page is saved, if that is not its ``url``.
     """
     placed = matched.repartition(*PAGE_KEY)
     bundled = F.col("kind").isin("css", "js") & F.lit(consolidate)
     bundle = F.when(F.col("kind") == "css", F.lit(layout.css_bundle)).otherwise(F.lit(layout.js_bundle))
-    folder = page_folder(F.col("url"), layout)
+    folder = page_folder(F.col("base" if "base" in matched.columns else "url"), layout)
     target = F.when(bundled, bundle).otherwise(F.col("local_path"))
     ok = F.coalesce(F.col("ok"), F.lit(False))
     kind_of_page = Window.partitionBy(*PAGE_KEY, "kind")
@@ -101,8 +103,6 @@ def link_edits(links: DataFrame, saved: DataFrame, layout: Layout) -> DataFrame:
     ``links`` comes from ``site_links``; ``saved(site, url)`` lists the pages of the copy by their
     normal URL. Links to other pages of the site become absolute. Fragments are kept.
     """
-    from pagework.operators.joins import lookup
-
     target = saved.select("site", F.col("url").alias("dst"), F.lit(True).alias("is_saved"))
     found = lookup(links.filter("crawlable"), target, ["site", "dst"])
     fragment = F.regexp_extract("abs_url", r"#[\s\S]*$", 0)
