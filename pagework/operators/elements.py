@@ -125,12 +125,16 @@ def _single_candidate(value: Column) -> Column:
     )
 
 
-def page_refs(pages: DataFrame, profile: str = "full", saved: bool = False) -> DataFrame:
+def page_refs(
+    pages: DataFrame, profile: str = "full", saved: bool = False, bases: DataFrame | None = None
+) -> DataFrame:
     """Every reference of a page to an asset, one row per candidate URL.
 
     ``profile='full'`` reads all image slots and inline styles, ``'basic'`` only ``img`` and no
     styles. ``saved=True`` is for pages read from disk: the column ``base`` may be NULL, and relative
-    references of such a page are left out. Otherwise ``base``, if there is one, goes before ``url``.
+    references of such a page are left out. Their bases may also come as a table ``bases(site, url,
+    base)``, which joins the references and not the page text. For fetched pages ``base``, if there
+    is one, goes before ``url``.
 
     Adds ``pos, slot, kind, rank, cand_pos, raw_ref, descriptor, holder, abs_url``. ``rank`` is the
     order in which the kinds of references are looked at; ``holder`` is the text of an inline style.
@@ -140,6 +144,8 @@ def page_refs(pages: DataFrame, profile: str = "full", saved: bool = False) -> D
     base = F.col("url")
     if "base" in pages.columns:
         base = F.col("base") if saved else F.coalesce(F.col("base"), F.col("url"))
+    if bases is not None:
+        base = F.lit(None).cast("string")
     based = pages.withColumn("_base", base).withColumn("_base_parts", urls.split_url(base))
 
     named = ["link", "script", *dict.fromkeys(tag for tag, _ in image_slots)]
@@ -202,6 +208,10 @@ def page_refs(pages: DataFrame, profile: str = "full", saved: bool = False) -> D
         F.when(F.col("s.slot") == "style", value).alias("holder"),
         F.inline_outer(candidates),
     ).filter(F.col("ref").isNotNull() & ~is_embedded(F.col("ref")))
+    if bases is not None:
+        parts = parts.drop("_base").join(
+            bases.withColumnRenamed("base", "_base"), ["site", "url"], "left"
+        )
     if saved:
         parts = parts.filter(urls.is_resolvable(F.col("ref"), F.col("_base")))
         target = urls.resolve_saved(F.col("_base"), F.col("ref"))

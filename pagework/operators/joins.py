@@ -1,4 +1,4 @@
-"""The equi-join of references to what they refer to."""
+"""Equi-joins whose keys may be very unevenly used."""
 
 from __future__ import annotations
 
@@ -15,6 +15,42 @@ HOT_KEYS = 1_000
 SALTS = 4_096
 
 
+SPREAD = 64
+
+
+def hot_keys_of(rows: DataFrame, on: Sequence[str], hot_rows: int, hot_keys: int) -> DataFrame:
+    """The at most ``hot_keys`` most frequent keys with more than ``hot_rows`` rows."""
+    return (
+        rows.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows"))
+        .limit(hot_keys)
+        .select(*on)
+    )
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
+) -> DataFrame:
+    """Inner join for payloads too big to broadcast, such as the text of a style sheet that a third
+    of all sites use: rows of a hot key are spread over salts and meet a copy of its matches each.
+    Only the hot keys themselves are broadcast."""
+    on = list(on)
+    hot = F.broadcast(hot_keys_of(left, on, hot_rows, hot_keys).withColumn("_hot", F.lit(True)))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
+    spread = left.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+    )
+    every = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SPREAD - 1)).otherwise(F.lit(0)))
+    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(every))
+    return spread.drop("_hot").join(copied.drop("_hot"), [*on, "_salt"]).drop("_salt")
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -32,12 +68,7 @@ def lookup(
     payload = [c for c in right.columns if c not in on]
     last = on[-1]
     hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(hot_keys)
-        .select(*on)
+        hot_keys_of(left, on, hot_rows, hot_keys)
         .join(right, on, "left")
         .select(*on, F.lit(True).alias("_hot"), F.struct(*payload).alias("_hot_match"))
     )

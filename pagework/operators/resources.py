@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagework.functions import paths, urls
 from pagework.functions.css import css_urls, is_kept
 from pagework.functions.paths import Layout
-from pagework.operators.joins import lookup
+from pagework.operators.joins import lookup, salted_join
 from pagework.operators.ordering import page_slice, running_total
 from pagework.sources.scratch import Scratch
 
@@ -56,7 +56,7 @@ def css_child_refs(sheets: DataFrame, inner: DataFrame) -> DataFrame:
     ``sheets(site, abs_url, first)``: where each site sees each style sheet first.
     """
     placed = sheets.select("site", F.col("abs_url").alias("sheet_url"), "first")
-    return placed.join(inner, "sheet_url").select(
+    return salted_join(placed, inner, ["sheet_url"]).select(
         "site",
         "abs_url",
         "sheet_url",

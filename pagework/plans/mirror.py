@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagework.functions import paths
 from pagework.functions.paths import FLAT, Layout
 from pagework.operators import bundles, elements, report, resources, rewrite, variants
+from pagework.operators.joins import salted_join
 from pagework.sources.scratch import Scratch
 
 
@@ -60,7 +61,7 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
 
     bundled = catalogue.filter(F.col("ok") & F.col("kind").isin("css", "js"))
     content = assets.select("url", "content")
-    with_text = bundled.join(content, "url")
+    with_text = salted_join(bundled, content, ["url"])
     inside = resources.attach_resources(
         children.select("site", "abs_url", "sheet_url", "css_pos"), catalogue
     )
@@ -116,10 +117,11 @@ def mirror_saved(
         "site", F.col("path").alias("url"), F.lit(0).cast("long").alias("page_order"), "html"
     )
     if base_url is not None:
-        based = pages.withColumn("base", F.lit(base_url))
+        refs = elements.page_refs(pages.withColumn("base", F.lit(base_url)), saved=True)
     else:
-        based = pages.join(elements.detect_base(pages, ["site", "url"]), ["site", "url"], "left")
-    found = collect_assets(elements.page_refs(based, saved=True), assets, FLAT, scratch)
+        bases = elements.detect_base(pages, ["site", "url"])
+        refs = elements.page_refs(pages, saved=True, bases=bases)
+    found = collect_assets(refs, assets, FLAT, scratch)
     edits = rewrite.asset_edits(found.matched, FLAT, consolidate)
     copies = rewrite.apply_edits(pages, edits).select("site", F.col("url").alias("path"), "html")
     return _result(copies, pages, found, consolidate)

@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from pagework.operators import bundles, crawl, elements, linkfix, resources
-from pagework.operators.joins import lookup
+from pagework.operators.joins import lookup, salted_join
 from pagework.operators.ordering import running_total
 from pagework.sources.scratch import Scratch
 
@@ -21,6 +21,17 @@ def test_lookup_with_hot_keys_equals_a_left_join(spark):
         assert sorted((r.id, r.v) for r in got) == [(i, want.get((s, k))) for i, s, k in left]
 
 
+def test_salted_join_equals_an_inner_join(spark):
+    random.seed(4)
+    left = [(i, random.choice(["hot"] * 5 + ["gone"] + [f"k{j}" for j in range(5)])) for i in range(400)]
+    right = [("hot", 1), ("hot", 2), ("k1", 3), ("other", 4)]
+    a = spark.createDataFrame(left, "id long, url string")
+    b = spark.createDataFrame(right, "url string, v long")
+    want = sorted((i, v) for i, k in left for u, v in right if u == k)
+    for hot_rows, hot_keys in ((10, 1000), (10, 1), (10**6, 1000)):
+        assert sorted((r.id, r.v) for r in salted_join(a, b, ["url"], hot_rows, hot_keys).collect()) == want
+
+
 def test_running_total_over_slices_equals_brute_force(spark):
     random.seed(2)
     rows = [(random.choice("aab"), i, random.randint(0, 5)) for i in range(500)]
