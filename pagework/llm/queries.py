@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from pagework.llm.common import crc_remainder, prepare, table
 from pagework.llm.langid import fit_language_model, predict_language
+from pagework.llm.toxicity import fit_toxicity, score_toxicity
+
+TOXIC_FROM = 0.7
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select(
+        "doc_id", "text", (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    )
+    net = fit_toxicity(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, net, "doc_id", "held_out")
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +32,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op6_language_id": op6_language_id,
 }
 CORPUS_ORACLES: dict[str, str] = {}
