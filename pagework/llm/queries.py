@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pagework.llm.common import crc_remainder, prepare, table
 from pagework.llm.langid import fit_language_model, predict_language
+from pagework.llm.quality import judge_quality
 from pagework.llm.toxicity import fit_toxicity, score_toxicity
+from pagework.sources.scratch import Scratch
 
 TOXIC_FROM = 0.7
 
@@ -31,8 +33,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, "doc_id", "held_out")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return judge_quality(docs, Scratch(spark), "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op6_language_id": op6_language_id,
+    "op10_quality": op10_quality,
 }
 CORPUS_ORACLES: dict[str, str] = {}
