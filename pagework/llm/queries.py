@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 from pagework.llm.common import crc_remainder, prepare, table
 from pagework.llm.langid import fit_language_model, predict_language
+from pagework.llm.piece_codec import encode_pieces
+from pagework.llm.piece_count import count_pieces
 from pagework.llm.quality import judge_quality
+from pagework.llm.token_files import read_token_files, write_token_files
 from pagework.llm.toxicity import fit_toxicity, score_toxicity
 from pagework.sources.scratch import Scratch
 
 TOXIC_FROM = 0.7
+PIECE_MODEL = "piece_bpe_32k.model"
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file, which is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +37,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return count_pieces(docs, tokenizer_path(PIECE_MODEL), "doc_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    scratch = Scratch(spark)
+    folder = f"{scratch.folder}/tokens"
+    manifest = scratch.keep(write_token_files(docs, tokenizer_path(WORD_TOKENIZER), folder, END_ID), "manifest")
+    return read_token_files(spark, folder, manifest)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select(
         "doc_id", "text", "lang", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
@@ -33,6 +58,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, "doc_id", "held_out")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    coded = encode_pieces(docs, tokenizer_path(PIECE_MODEL), "doc_id", F.col("text").alias("_text"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").alias("n_pieces"),
+        (F.col("text_back") == F.coalesce("_text", F.lit(""))).alias("same_text"),
+        "ids",
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return judge_quality(docs, Scratch(spark), "doc_id").select(
@@ -42,7 +78,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality": op10_quality,
 }
 CORPUS_ORACLES: dict[str, str] = {}
