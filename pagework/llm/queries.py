@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagework.llm.common import crc_remainder, prepare, table
+from pagework.llm.html_text import extract_text
 from pagework.llm.langid import fit_language_model, predict_language
 from pagework.llm.piece_codec import encode_pieces
 from pagework.llm.piece_count import count_pieces
@@ -37,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(prepare(spark), sf_dir, "pages"), "page_id", "url")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return count_pieces(docs, tokenizer_path(PIECE_MODEL), "doc_id")
@@ -78,6 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
