@@ -8,6 +8,7 @@ scored. The network is fitted on a bounded sample of labelled rows and broadcast
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,10 @@ EMBED, HIDDEN, ATTEND = 8, 8, 8
 #: Rows of each label that the network is fitted on, at most.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 4000
 EPOCHS, DOCS_A_STEP, RATE = 3, 32, 5e-3
+#: Steps of the fit at least: few rows are gone through more often.
+LEAST_STEPS = 300
+#: Words in fewer texts of the sample are hidden from the fit, which would learn texts by heart from them.
+LEAST_TEXTS = 3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -179,7 +184,11 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     tokens = [t.split() for t in texts]
-    steps, total = 0, epochs * -(-len(texts) // DOCS_A_STEP)
+    seen = Counter(w for t in tokens for w in set(t))
+    tokens = [[w if seen[w] >= LEAST_TEXTS else b"" for w in t] for t in tokens]
+    steps, an_epoch = 0, -(-len(texts) // DOCS_A_STEP)
+    epochs = max(epochs, -(-LEAST_STEPS // an_epoch))
+    total = epochs * an_epoch
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), DOCS_A_STEP):
