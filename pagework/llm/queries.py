@@ -13,6 +13,7 @@ from pagework.llm.langid import fit_language_model, predict_language
 from pagework.llm.piece_codec import encode_pieces
 from pagework.llm.piece_count import count_pieces
 from pagework.llm.quality import judge_quality
+from pagework.llm.simhash import near_duplicates
 from pagework.llm.token_files import read_token_files, write_token_files
 from pagework.llm.toxicity import fit_toxicity, score_toxicity
 from pagework.sources.scratch import Scratch
@@ -29,6 +30,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return near_duplicates(docs, Scratch(spark)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select(
         "doc_id", "text", (crc_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
@@ -82,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
