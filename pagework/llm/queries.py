@@ -13,6 +13,7 @@ from pagework.llm.langid import fit_language_model, predict_language
 from pagework.llm.piece_codec import encode_pieces
 from pagework.llm.piece_count import count_pieces
 from pagework.llm.quality import judge_quality
+from pagework.llm.repeats import remove_repeats
 from pagework.llm.simhash import near_duplicates
 from pagework.llm.token_files import read_token_files, write_token_files
 from pagework.llm.toxicity import fit_toxicity, score_toxicity
@@ -82,6 +83,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return remove_repeats(docs, Scratch(spark), "doc_id").select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return judge_quality(docs, Scratch(spark), "doc_id").select(
@@ -97,6 +109,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 CORPUS_ORACLES: dict[str, str] = {}
