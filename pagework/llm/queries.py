@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagework.llm.common import crc_remainder, prepare, table
+from pagework.llm.decontaminate import contaminated
 from pagework.llm.html_text import extract_text
 from pagework.llm.langid import fit_language_model, predict_language
 from pagework.llm.piece_codec import encode_pieces
@@ -72,6 +73,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, model, "doc_id", "held_out")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     coded = encode_pieces(docs, tokenizer_path(PIECE_MODEL), "doc_id", F.col("text").alias("_text"))
@@ -108,6 +114,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
