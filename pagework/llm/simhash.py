@@ -61,15 +61,19 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long. Null text has none of
-    the words and the fingerprint 0."""
-    rows = texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    """``(doc_id, tie, fp)`` for every row: ``tie`` is a hash of the text, ``fp`` the fingerprint as a signed
+    long. Null text has none of the words and the fingerprint 0."""
+    rows = texts(
+        docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text")), "doc_id", "tie"
+    )
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(b) for b in bodies(part)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("tie"), pa.array(fps)], ["doc_id", "tie", "fp"]
+        )
 
-    return map_texts(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_texts(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, fp long")
 
 
 def _numbers(batch: pa.RecordBatch) -> np.ndarray:
@@ -290,17 +294,11 @@ def near_links(
     return links.distinct()
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
     parts: int | None = None, bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row.
-
-    ``component_id`` is the smallest id reachable over links. Null and empty text have the fingerprint
-    0 and are linked like any other. A row with null id takes part and gets a component, but its id
-    names none; where no row of a component has an id, its component is null. Repeated rows come out
-    one each. An empty table gives an empty result.
-    """
+    """``(doc_id, tie, fp, root, component_id)`` for every row; ``root`` is the same inside a component."""
     marked = scratch.keep(fingerprints(docs, doc_id, text), "fingerprints")
     nodes = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = component_roots(near_links(nodes, scratch, radius, parts, bucket_limit), scratch)
@@ -309,5 +307,22 @@ def near_duplicates(
     )
     rooted = scratch.keep(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, *args, **options) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row; arguments as for ``grouped``.
+
+    ``component_id`` is the smallest id reachable over links. Null and empty text have the fingerprint
+    0 and are linked like any other. A row with null id takes part and gets a component, but its id
+    names none; where no row of a component has an id, its component is null. Repeated rows come out
+    one each. An empty table gives an empty result.
+    """
+    return grouped(docs, scratch, *args, **options).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, scratch: Scratch, *args, **options) -> DataFrame:
+    """``(doc_id, tie)`` of one row of each component: the least id, null last, then the least hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    chosen = grouped(docs, scratch, *args, **options).groupBy("root").agg(F.min(order).alias("c"))
+    return chosen.select("c.doc_id", "c.tie")
