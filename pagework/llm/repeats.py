@@ -29,10 +29,10 @@ from pagework.llm.gsaca import common_prefixes, suffix_array
 from pagework.sources.scratch import Scratch
 
 LENGTH, GRAM = 200, 32
-#: Different regions of an anchor that one task sorts.
-GROUP_LIMIT = 256
 #: Bytes of regions that a task sorts at once, and bytes of a text that are hashed at once.
 SORT_BYTES, BLOCK = 4 << 20, 1 << 20
+#: Different regions of an anchor that one task sorts: about as many as it sorts at once.
+GROUP_LIMIT = SORT_BYTES // 256
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -474,10 +474,11 @@ def covered(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[in
 
 def remove_repeats(
     docs: DataFrame, scratch: Scratch, *columns: str | Column, doc_id: str = "doc_id", text: str = "text",
-    length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT,
+    length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, as_text: bool = False,
 ) -> DataFrame:
     """The given columns with ``n_bytes``, ``n_removed``, ``removed`` (first and end of each maximal run of
-    removed bytes) and ``kept``, the remaining bytes.
+    removed bytes) and ``kept``, the remaining bytes. ``as_text`` makes ``kept`` a string, from which parts
+    of characters that were cut in two are left out.
 
     Null text counts as empty; texts shorter than ``length`` stay as they are. Rows are documents: of
     repeated rows each is a copy of the other. Null ids are ids like any other.
@@ -510,14 +511,15 @@ def remove_repeats(
                 [
                     *(part.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
                     pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(rest, pa.binary()),
+                    pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()) if as_text else pa.array(rest, pa.binary()),
                 ],
                 [*names, "n_bytes", "n_removed", "removed", "kept"],
             )
 
     fields = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, shown.schema))
+    kept = "string" if as_text else "binary"
     done = joined.mapInArrow(
-        cut, fields + "n_bytes long, n_removed long, removed array<struct<first: long, end: long>>, kept binary"
+        cut, fields + f"n_bytes long, n_removed long, removed array<struct<first: long, end: long>>, kept {kept}"
     )
     return done.select(
         *(F.col(n).alias(f.name) for n, f in zip(names, shown.schema)), "n_bytes", "n_removed", "removed", "kept"
