@@ -72,10 +72,10 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, apart, home, header
+        self.open: list[tuple[str, bool, int, bool, bool]] = []  # a tag and the state before it
         self.text: list[str] = []
         self.tags = 0
-        self.apart, self.home, self.header = False, 0, False
+        self.apart, self.home, self.header, self.mute = False, 0, False, False
         self.kinds, self.parents = ["page"], [0]
 
     def flush(self) -> None:
@@ -95,11 +95,12 @@ class _Lines(HTMLParser):
             return
         if tag in HOMES and (self.apart or self.header) and not _set_apart(tag, attrs):
             # A menu or notice that was not closed ends where an article begins, unless it is a list of them.
-            while self.open and self.open[-1][0] not in ("aside", "form") and (self.open[-1][1] or self.open[-1][3]):
+            while self.open and (self.apart or self.header) and self.open[-1][0] not in ("aside", "form"):
                 self._close(len(self.open) - 1)
-        self.open.append((tag, self.apart, self.home, self.header))
+        self.open.append((tag, self.apart, self.home, self.header, self.mute))
         if not self.apart and _set_apart(tag, attrs):
             self.apart = True
+            self.mute = tag not in BLOCKS  # it stands inside a line, which goes on after it
         if tag == "header":
             self.header = True
         if tag in CONTAINERS and not self.apart:
@@ -113,7 +114,7 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def _close(self, at: int) -> None:
-        _, self.apart, self.home, self.header = self.open[at]
+        _, self.apart, self.home, self.header, self.mute = self.open[at]
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -129,7 +130,8 @@ class _Lines(HTMLParser):
                 return  # an end tag of a small element does not end what encloses it
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.mute:
+            self.text.append(data)
 
     def unknown_decl(self, data: str) -> None:
         pass
