@@ -27,42 +27,83 @@ from pagework.operators.ordering import running_total
 FILE_BYTES = 16 << 20
 WORDS = 600_000
 _BATCH = 2000
+#: Characters that are neither letters nor digits nor white space nor part of a contraction or a special token.
+_PUNCTUATION = b".,;:!?()[]{}\"*#$%&+-=/@_~^`"
 
 
 class WordEncoder:
     """Ids of white-space separated words by a ``tokenizers`` file that drops white space.
 
-    Words are encoded by themselves, each distinct one once: batches of them are set apart by a special
-    token, which the library splits off before anything else. A word that holds that token is encoded
-    alone. ``separator`` must be a special token of the file.
+    Words are encoded by themselves, each distinct one once. Most are letters between punctuation, which
+    the pre-tokenizer splits there: letters and punctuation are then encoded apart, so that a word is known
+    whatever stands beside it. They go to the library in long batches, where the pieces of one end in a
+    piece with the end-of-word mark. Other words go one by one.
     """
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>", words: int = WORDS):
+    def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are busy with other tasks
-        self.tokenizer, self.separator = Tokenizer.from_file(path), separator
-        self.split_id = self.tokenizer.token_to_id(separator)
-        if self.split_id is None:
-            raise ValueError(f"{separator} is no token of the file")
+        self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(mark) and piece.endswith(mark)
+        self.parts: dict[bytes, list[int]] = {}
         self.table = RaggedTable(self._encode_words, words)
 
-    def _encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        odd = {i: self._ids(t) for i, t in enumerate(texts) if self.separator in t}
-        made: list[np.ndarray] = []
-        for at in range(0, len(texts), _BATCH):
-            some = ["" if i in odd else texts[i] for i in range(at, min(at + _BATCH, len(texts)))]
-            ids = self._ids(self.separator.join(some))
-            cuts = np.nonzero(ids == self.split_id)[0]
-            begins, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            made += [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
-        for i, ids in odd.items():
-            made[i] = ids
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, ...] | None:
+        """Punctuation, letters, punctuation; None if the word is not built so."""
+        if word.isalpha():  # ASCII letters, whose lower case is what the normaliser makes of them
+            return (word.lower(),)
+        core = word.strip(_PUNCTUATION)
+        if core.isalpha():
+            lower = core.lower()
+        elif not core:
+            return (word,)
+        elif core.decode("utf-8", "replace").isalpha():
+            lower = core
+        else:
+            return None
+        if len(core) == len(word):
+            return (lower,)
+        if word.startswith(core):
+            return (lower, word[len(core) :])
+        head, _, tail = word.partition(core)
+        return (head, lower, tail) if tail else (head, lower)
+
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        split = list(map(self._split, words))
+        if len(self.parts) > 2 * self.table.limit:
+            self.parts = {}
+        parts = self.parts
+        fresh = list(dict.fromkeys(p for s in split if s for p in s if p not in parts))
+        for at in range(0, len(fresh), _BATCH):
+            some = fresh[at : at + _BATCH]
+            ids = self._ids(b" ".join(some))
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                flat, begin = ids.tolist(), 0
+                for p, end in zip(some, ends.tolist()):
+                    parts[p] = flat[begin:end]
+                    begin = end
+            else:  # a part that the pre-tokenizer splits after all
+                for p in some:
+                    parts[p] = self._ids(p).tolist()
+        made = []
+        for word, s in zip(words, split):
+            if s is None:
+                made.append(self._ids(word).tolist())
+            elif len(s) == 1:
+                made.append(parts[s[0]])
+            else:
+                made.append([i for p in s for i in parts[p]])
         return made
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+    def _ids(self, text: bytes) -> np.ndarray:
+        text = text.decode("utf-8", "replace")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.encode([t.split() for t in texts])

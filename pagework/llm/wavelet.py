@@ -32,15 +32,19 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, np.uint32)
         bits = int(ids.max()).bit_length() if len(ids) else 0
-        planes, zeros = [], []
+        ids = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
+        planes, zeros, n = [], [], len(ids)
         for bit in range(bits - 1, -1, -1):
-            on = (ids >> np.uint32(bit)) & np.uint32(1) == 1
+            on = (ids & ids.dtype.type(1 << bit)).astype(bool)
             planes.append(np.packbits(on))
-            zeros.append(int(len(on) - np.count_nonzero(on)))
-            ids = np.concatenate([ids[~on], ids[on]])
-        return WaveletMatrix(len(ids), planes, zeros)
+            sorted_ = np.empty_like(ids)
+            ones = np.count_nonzero(on)
+            np.compress(on, ids, out=sorted_[n - ones :])
+            np.compress(~on, ids, out=sorted_[: n - ones])
+            zeros.append(int(n - ones))
+            ids = sorted_
+        return WaveletMatrix(n, planes, zeros)
 
     def _rank(self, level: int, at: int) -> int:
         """Ones of a plane before a place."""
@@ -107,15 +111,16 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def tokens(self) -> np.ndarray:
-        """All ids in order, plane by plane at once."""
-        values = np.zeros(self.n, np.uint32)
-        at = np.arange(self.n, dtype=np.uint32)
-        for plane, zero in zip(self.planes, self.zeros):
-            on = np.unpackbits(plane, count=self.n)
-            ones = np.cumsum(on, dtype=np.uint32)
-            place = np.where(on, np.uint32(zero) + ones - np.uint32(1), np.arange(self.n, dtype=np.uint32) - ones)
-            values = values * np.uint32(2) + on[at]
-            at = place[at]
+        """All ids in order: from the last plane up, each plane's sorting is undone and its bit set."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
+        for level in range(len(self.planes) - 1, -1, -1):
+            on = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            values[self.zeros[level] :] |= kind(1 << len(self.planes) - 1 - level)
+            before = np.empty_like(values)
+            before[on] = values[self.zeros[level] :]
+            before[~on] = values[: self.zeros[level]]
+            values = before
         return values
 
 
