@@ -8,6 +8,7 @@ import sys
 import time
 
 from pagework.session import local_session
+from workload import queries
 from workload.queries import QUERIES, tuned
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -24,10 +25,19 @@ HEADLINE = [
     "asset_rewrite",
     "link_rewrite",
     "crawl_bfs",
+    "mirror_pages",
+    "mirror_languages",
+    "crawl_copy",
 ]
 
 
+def spread(read, cores: int):
+    """The tables of the bench are files of one row group, which one task would read and work on."""
+    return lambda spark, sf_dir, name: read(spark, sf_dir, name).repartition(cores)
+
+
 def main() -> None:
+    queries.table = spread(queries.table, int(CPUS))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(CPUS, "16g")
     seconds: dict[str, float] = {}

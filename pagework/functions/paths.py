@@ -129,7 +129,7 @@ def page_path_tree(url: Column) -> Column:
         return F.concat(folder, hashed_name(name, F.lit(".html"), url))
 
     def of_parts(parts: Column) -> Column:
-        path = F.trim(without_parameters(parts["path"]), F.lit("/"))
+        path = F.regexp_replace(F.trim(without_parameters(parts["path"]), F.lit("/")), "/{2,}", "/")
         return let(
             let(path, place), lambda p: F.when(parts["query"] != "", with_query(p)).otherwise(p)
         )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagework.sources.scratch import Scratch
+
 # Pages per slice of an order that starts with a page number.
 SLICE_PAGES = 1 << 16
 
@@ -48,3 +50,27 @@ def running_total(
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0).cast("long")))
         .select(*rows.columns, out)
     )
+
+
+def number_rows(rows: DataFrame, order: Sequence[str], scratch: Scratch) -> DataFrame:
+    """Add ``number``: a dense number of the rows in the given order, from 0.
+
+    Rows are range-partitioned once and written, so the slices are fixed; only the number of rows per
+    slice is summed in one place.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = scratch.keep(ranged, "ranged")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    inside = Window.partitionBy("_part").orderBy(*order)
+    return (
+        ranged.withColumn("_n", F.row_number().over(inside) - 1)
+        .join(starts, "_part")
+        .withColumn("number", (F.col("_start") + F.col("_n")).cast("long"))
+        .drop("_part", "_n", "_start")
+    )

@@ -15,13 +15,30 @@ from pagework.sources.scratch import Scratch
 FIRST = ["page_order", "rank", "pos", "cand_pos", "sub_pos"]
 
 
+def best_status(assets: DataFrame) -> DataFrame:
+    """``(url, status)``, each URL once: of several fetches the least status, one without status last."""
+    return assets.groupBy("url").agg(F.min("status").alias("status"))
+
+
+def body_of(assets: DataFrame, urls_: DataFrame) -> DataFrame:
+    """``(url, content)`` of the fetched URLs in ``urls_(url)``, each once. Only URLs that were fetched
+    more than once are compared by their bodies."""
+    wanted = assets.filter(is_fetched(F.col("status"))).join(urls_.distinct(), "url", "left_semi")
+    many = wanted.groupBy("url").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("url")
+    single = wanted.join(many, "url", "left_anti").select("url", "content")
+    best = wanted.join(many, "url", "left_semi").groupBy("url").agg(
+        F.min(F.struct("status", "content")).alias("_b")
+    )
+    return single.unionByName(best.select("url", "_b.content"))
+
+
 def first_seen(refs: DataFrame) -> DataFrame:
     """Distinct assets per site with the place, and the kind, of their first reference."""
     sub_pos = F.col("sub_pos") if "sub_pos" in refs.columns else F.lit(0).cast("long").alias("sub_pos")
     return (
         refs.select("site", "abs_url", *FIRST[:-1], sub_pos, "kind")
         .groupBy("site", "abs_url")
-        .agg(F.min(F.struct(*FIRST, "kind")).alias("first"), F.count(F.lit(1)).alias("n_refs"))
+        .agg(F.min(F.struct(*FIRST, "abs_url", "kind")).alias("first"), F.count(F.lit(1)).alias("n_refs"))
     )
 
 
@@ -46,8 +63,7 @@ def css_refs(sheets: DataFrame) -> DataFrame:
 
 def sheet_bodies(sheets: DataFrame, assets: DataFrame) -> DataFrame:
     """Fetched bodies of the style sheets in ``sheets(abs_url)``, each URL once."""
-    wanted = sheets.select(F.col("abs_url").alias("url")).distinct()
-    return assets.filter(is_fetched(F.col("status"))).join(wanted, "url", "left_semi")
+    return body_of(assets, sheets.select(F.col("abs_url").alias("url")))
 
 
 def css_child_refs(sheets: DataFrame, inner: DataFrame) -> DataFrame:
@@ -75,7 +91,7 @@ def name_resources(firsts: DataFrame, assets: DataFrame, layout: Layout, scratch
     of a site share it; a number that would meet a name already in use gives way to the URL's hash.
     All other names end in the hash. ``local_path`` is NULL where a failed asset gets no name.
     """
-    status = assets.select(F.col("url").alias("abs_url"), "status")
+    status = best_status(assets).withColumnRenamed("url", "abs_url")
     found = lookup(firsts, status, ["abs_url"]).withColumn("ok", is_fetched(F.col("status")))
     if not layout.keep_failed_names:
         failed = found.filter(~F.col("ok")).withColumn("folder", F.lit(None).cast("string"))

@@ -100,15 +100,17 @@ def srcset_value(parts: Column, layout: Layout) -> Column:
 def link_edits(links: DataFrame, saved: DataFrame, layout: Layout) -> DataFrame:
     """Edits that point links at saved pages.
 
-    ``links`` comes from ``site_links``; ``saved(site, url)`` lists the pages of the copy by their
-    normal URL. Links to other pages of the site become absolute. Fragments are kept.
+    ``links`` comes from ``site_links``; ``saved(site, url[, path])`` lists the pages of the copy by their
+    normal URL, and where they are saved if not where the layout puts them. Links to other pages of the
+    site become absolute. Fragments are kept.
     """
-    target = saved.select("site", F.col("url").alias("dst"), F.lit(True).alias("is_saved"))
+    place = F.col("path") if "path" in saved.columns else page_path(F.col("url"), layout)
+    target = saved.select(
+        "site", F.col("url").alias("dst"), F.lit(True).alias("is_saved"), place.alias("_place")
+    )
     found = lookup(links.filter("crawlable"), target, ["site", "dst"])
     fragment = F.regexp_extract("abs_url", r"#[\s\S]*$", 0)
-    local = paths.relative_path(
-        page_path(F.col("dst"), layout), page_folder(F.col("page_norm"), layout)
-    )
+    local = paths.relative_path(F.col("_place"), page_folder(F.col("page_norm"), layout))
     value = F.when(F.col("is_saved"), F.concat(local, fragment)).otherwise(F.col("abs_url"))
     return (
         found.withColumn("value", value)

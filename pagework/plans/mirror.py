@@ -12,6 +12,7 @@ from pagework.functions import paths
 from pagework.functions.paths import FLAT, Layout
 from pagework.operators import bundles, elements, report, resources, rewrite, variants
 from pagework.operators.joins import salted_join
+from pagework.operators.ordering import number_rows
 from pagework.sources.scratch import Scratch
 
 
@@ -60,7 +61,7 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
     matched = scratch.keep(resources.attach_resources(refs, catalogue), "matched")
 
     bundled = catalogue.filter(F.col("ok") & F.col("kind").isin("css", "js"))
-    content = assets.select("url", "content")
+    content = resources.body_of(assets, bundled.select("url"))
     with_text = salted_join(bundled, content, ["url"])
     inside = resources.attach_resources(
         children.select("site", "abs_url", "sheet_url", "css_pos"), catalogue
@@ -72,15 +73,22 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
 
 
 def mirror_pages(
-    pages: DataFrame, assets: DataFrame, scratch: Scratch, consolidate: bool = True
+    pages: DataFrame,
+    assets: DataFrame,
+    scratch: Scratch,
+    consolidate: bool = True,
+    asked: DataFrame | None = None,
 ) -> Mirror:
-    """J3: pages ``(site, url, page_order, html)`` as flat files that share one set of assets."""
+    """J3: pages ``(site, url, page_order, html)`` as flat files that share one set of assets.
+
+    ``asked(site, ok)`` has the pages that were asked for, failed ones too, for the totals; without it
+    the given pages count."""
     found = collect_assets(elements.page_refs(pages), assets, FLAT, scratch)
     edits = rewrite.asset_edits(found.matched, FLAT, consolidate)
     names = flat_names(pages)
     html = rewrite.apply_edits(pages, edits)
     files = html.join(names, ["site", "url"]).select("site", "path", "html")
-    return _result(files, pages, found, consolidate)
+    return _result(files, pages, found, consolidate, asked)
 
 
 def flat_names(pages: DataFrame, on_collision: str = "hash") -> DataFrame:
@@ -112,9 +120,12 @@ def mirror_saved(
     base_url: str | None = None,
     consolidate: bool = True,
 ) -> Mirror:
-    """J2: pages read from disk ``(site, path, html)``; the base is given or found in the page."""
-    pages = files.select(
-        "site", F.col("path").alias("url"), F.lit(0).cast("long").alias("page_order"), "html"
+    """J2: pages read from disk ``(site, path, html)``; the base is given or found in the page.
+
+    Pages count in the order of their paths, so the result does not depend on how files are dealt."""
+    order = scratch.keep(number_rows(files.select("site", "path"), ["path", "site"], scratch), "order")
+    pages = files.join(order, ["site", "path"]).select(
+        "site", F.col("path").alias("url"), F.col("number").alias("page_order"), "html"
     )
     if base_url is not None:
         refs = elements.page_refs(pages.withColumn("base", F.lit(base_url)), saved=True)
@@ -164,10 +175,13 @@ def _latest(edits: DataFrame, later: DataFrame) -> DataFrame:
     return edits.join(later.select(*key), key, "left_anti").unionByName(later)
 
 
-def _result(files: DataFrame, pages: DataFrame, found: Assets, consolidate: bool) -> Mirror:
+def _result(
+    files: DataFrame, pages: DataFrame, found: Assets, consolidate: bool, asked: DataFrame | None = None
+) -> Mirror:
     if consolidate:
         chunks = bundles.bundle_chunks(found.bodies)
     else:
         chunks = found.bodies.select("site", "kind", F.col("local_path").alias("path"), "content")
-    asked = pages.select("site", F.lit(True).alias("ok"))
+    if asked is None:
+        asked = pages.select("site", F.lit(True).alias("ok"))
     return Mirror(files, chunks, found.resources, report.run_totals(asked, found.resources))

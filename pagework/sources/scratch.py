@@ -30,13 +30,31 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{scratch_root(spark).rstrip('/')}/pagework-{uuid.uuid4().hex}"
+        self.made = 0
+        self.tables: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the written table."""
-        path = f"{self.folder}/{name}"
+        """Write ``df`` once and return the written table. Every call has a place of its own, so jobs may
+        share a scratch."""
+        path = self.place(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def place(self, name: str) -> str:
+        self.made += 1
+        return f"{self.folder}/{self.made:03d}-{name}"
+
+    def keep_bucketed(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """The same in buckets of ``keys``: joins on these keys move the other side only."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"pagework_{uuid.uuid4().hex}"
+        writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        writer.option("path", self.place(name)).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
+        for table in self.tables:
+            self.spark.sql(f"drop table if exists {table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -42,9 +42,18 @@ def write_bundles(chunks: DataFrame, path: str) -> None:
     )
 
 
-def write_backups(files: DataFrame, fixes: DataFrame, path: str) -> None:
-    """The original text of the files that ``fixes`` changes, before they are overwritten."""
-    backups_of(files, fixes).write.mode("overwrite").parquet(path)
+def write_backups(files: DataFrame, fixes: DataFrame, path: str, earlier: str | None = None) -> None:
+    """The original text of the files that ``fixes`` changes, before they are overwritten.
+
+    ``earlier`` is the folder of the last run's backups. They go along into the new folder, which must
+    be another one; of a file that both runs change the new backup counts.
+    """
+    made = backups_of(files, fixes)
+    if earlier is not None:
+        old = files.sparkSession.read.parquet(earlier)
+        changed = fixes.select("site", "path").distinct()
+        made = made.unionByName(old.join(changed, ["site", "path"], "left_anti"))
+    made.write.mode("overwrite").parquet(path)
 
 
 def write_sitemap(rows: DataFrame, path: str, lines: bool = False) -> None:

@@ -7,7 +7,6 @@ from workload import duck as d
 from workload.views import with_views
 
 REPLACEMENT = "https://home.example/start"
-CRAWL_DEPTH = 3
 LANGUAGE_ROWS = "(values ('en', 0), ('fr', 1), ('de', 2))"
 
 ORACLES: dict[str, str] = {}
@@ -426,14 +425,16 @@ WALK = [
 ]
 
 
-def walk(depth: int) -> list[tuple[str, str]]:
+def walk() -> list[tuple[str, str]]:
+    """The walk ends by itself: a step reaches only what no earlier step has."""
     return [
         *WALK,
         (
             "walked",
-            f"""
+            """
 select site, url, cast(0 as bigint) as depth from starts union
-select w.site, e.dst, w.depth + 1 from walked w join edges e on e.site = w.site and e.url = w.url where w.depth < {depth}""",
+select w.site, e.dst, w.depth + 1 from walked w join edges e on e.site = w.site and e.url = w.url
+left join recurring.walked v on v.site = w.site and v.url = e.dst where v.url is null""",
         ),
         (
             "visited",
@@ -449,22 +450,23 @@ from walked w left join stored s on s.site = w.site and s.url = w.url group by w
 
 
 def _recursive(names: list[str], body: str, extra: list[tuple[str, str]]) -> str:
-    return _fx(names, body, extra).replace("with ", "with recursive ", 1)
+    sql = _fx(names, body, extra).replace("with ", "with recursive ", 1)
+    return sql.replace("walked as (", "walked (site, url, depth) using key (site, url) as (", 1)
 
 
 FX_CRAWL = ["fx_links", "fx_pages"]
 ORACLES["crawl_bfs"] = _recursive(
-    FX_CRAWL, "select site, url, fetched, depth from visited", walk(CRAWL_DEPTH)
+    FX_CRAWL, "select site, url, fetched, depth from visited", walk()
 )
 ORACLES["crawl_limited"] = _recursive(
-    FX_CRAWL, "select site, url, fetched, depth from ranked where n <= 12", walk(8)
+    FX_CRAWL, "select site, url, fetched, depth from ranked where n <= 12", walk()
 )
 ORACLES["sitemap"] = _recursive(
     FX_CRAWL,
     f"""select v.site, v.url, {d.tree_path('v.url')} as path,
         case when replace(v.url, s.url, '') = '' then '/ (Home)' else replace(v.url, s.url, '') end as label
         from visited v join starts s on s.site = v.site where v.fetched""",
-    walk(CRAWL_DEPTH),
+    walk(),
 )
 ORACLES["sitemap_stats"] = _recursive(
     FX_CRAWL + FX_ALL,
@@ -472,7 +474,7 @@ ORACLES["sitemap_stats"] = _recursive(
        count(*) filter (saved and url like '%css') as css_files, count(*) filter (saved and url like '%js') as js_files
        from (select site, url, 1 as page, fetched as saved from visited
              union all select site, abs_url, 0, ok from found) t group by site""",
-    [*walk(CRAWL_DEPTH), *[s for s in catalogue(where="rnk in (0, 1, 2, 9, 10)")]],
+    [*walk(), *[s for s in catalogue(where="rnk in (0, 1, 2, 9, 10)")]],
 )
 
 
@@ -498,15 +500,18 @@ from link_rows group by site, url""",
 ORACLES["link_rewrite"] = _fx(
     FX_CRAWL, "select site, url, html from linked", [*WALK, *rewritten_links("stored")]
 )
-ORACLES["crawl_copy"] = _recursive(
-    FX_CRAWL,
-    f"select l.site, {d.tree_path('l.url')} as path, l.html from linked l join kept k on k.site = l.site and k.url = l.url",
-    [
-        *walk(10),
-        ("kept", "select site, url from ranked where n <= 40 and fetched"),
-        *rewritten_links("kept"),
-    ],
-)
+
+
+def copied(kept: str) -> str:
+    return _recursive(
+        FX_CRAWL,
+        f"select l.site, {d.tree_path('l.url')} as path, l.html from linked l join kept k on k.site = l.site and k.url = l.url",
+        [*walk(), ("kept", f"select site, url from ranked where {kept} and fetched"), *rewritten_links("kept")],
+    )
+
+
+ORACLES["crawl_copy"] = copied("n <= 40")
+ORACLES["crawl_copy_all"] = copied("true")
 
 # --- languages
 

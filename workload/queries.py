@@ -34,20 +34,12 @@ from workload.views import with_views
 BASE_TABLES = ["orders", "lineitem", "part"]
 REPLACEMENT = "https://home.example/start"
 LANGUAGES = ["en", "fr", "de"]
-CRAWL_DEPTH = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The given tables are single files of one row group, which one task would read and work on.
-    Rows of such a table are spread over the cores first; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str, body: str = "select * from {}") -> DataFrame:
     sql = with_views([name], body.format(name))
     for base in BASE_TABLES:
@@ -57,7 +49,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, body: str = "select * from
 
 
 def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_pages(spread(table(spark, sf_dir, "pages")))
+    return scan_pages(table(spark, sf_dir, "pages"))
 
 
 def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +72,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(view(spark, sf_dir, "fx_links"))
+    return view(spark, sf_dir, "fx_links")
 
 
 def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +360,7 @@ def _crawled(spark, sf_dir, scratch, **options):
 
 
 def crawl_bfs(spark, sf_dir):
-    found = _crawled(spark, sf_dir, Scratch(spark), max_depth=CRAWL_DEPTH)
+    found = _crawled(spark, sf_dir, Scratch(spark))
     return found.select("site", "url", "fetched", F.col("depth").cast("long").alias("depth"))
 
 
@@ -378,12 +370,12 @@ def crawl_limited(spark, sf_dir):
 
 
 def site_map(spark, sf_dir):
-    found = _crawled(spark, sf_dir, Scratch(spark), max_depth=CRAWL_DEPTH)
+    found = _crawled(spark, sf_dir, Scratch(spark))
     return sitemap.sitemap(found, seeds(spark, sf_dir))
 
 
 def sitemap_stats(spark, sf_dir):
-    found = _crawled(spark, sf_dir, Scratch(spark), max_depth=CRAWL_DEPTH)
+    found = _crawled(spark, sf_dir, Scratch(spark))
     catalogue = _collected(spark, sf_dir, TREE, "basic").resources
     return sitemap.sitemap_stats(found, catalogue)
 
@@ -396,11 +388,17 @@ def link_rewrite(spark, sf_dir):
     return rewrite.apply_edits(pages, edits).select("site", "url", "html")
 
 
+def _copied(spark, sf_dir, max_pages=None):
+    pages = made_link_pages(spark, sf_dir)
+    return copy_sites(pages, seeds(spark, sf_dir), assets(spark, sf_dir), Scratch(spark), max_pages)
+
+
 def crawl_copy(spark, sf_dir):
-    copy = copy_sites(
-        made_link_pages(spark, sf_dir), seeds(spark, sf_dir), assets(spark, sf_dir), Scratch(spark), 40
-    )
-    return copy.files
+    return _copied(spark, sf_dir, 40).files
+
+
+def crawl_copy_all(spark, sf_dir):
+    return _copied(spark, sf_dir).files
 
 
 # --- languages
@@ -552,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mirror_languages": mirror_in_languages,
     "mirror_pages": mirror_page_list,
     "crawl_copy": crawl_copy,
+    "crawl_copy_all": crawl_copy_all,
 }
 
 

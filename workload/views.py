@@ -111,13 +111,15 @@ select page_id, site, url, status,
 from fx_pages""",
 )
 
+# The first two links of a page lead to two others of its site, as in a binary tree whose last level
+# leads back to its first ones, so every page is a few steps from the start of its site.
 _view(
     "fx_links",
     ["fx_pages"],
     """
 select p.page_id, p.site, p.url, cast(j.j as bigint) as pos,
-       case j.j when 0 then '/p/' || cast((p.page_id + 20 * (p.page_id % 7 + 1)) % c.n as string)
-                when 1 then 'https://' || p.site || '/p/' || cast((p.page_id + 20 * (p.page_id % 11 + 5)) % c.n as string) || '#s'
+       case j.j when 0 then '/p/' || cast((2 * p.page_id - p.page_id % 20 + 20) % c.n as string)
+                when 1 then 'https://' || p.site || '/p/' || cast((2 * p.page_id - p.page_id % 20 + 40) % c.n as string) || '#s'
                 when 2 then 'https://s' || cast((p.page_id + 1) % 20 as string) || '.example/p/' || cast((p.page_id + 1) % c.n as string)
                 when 3 then '/gone/' || cast(p.page_id as string)
                 when 4 then '../p/./' || cast((p.page_id + 20) % c.n as string) || '.html'
