@@ -399,6 +399,38 @@ ORACLES["mirror_pages"] = _fx(
               from (select *, {d.flat_path('url')} as name from rewritten) a) b""",
     new_tags(True),
 )
+# Saved pages: files in the order of their paths, references resolved against a given address.
+SAVED_REFS = [
+    (
+        "files",
+        f"""
+select page_id, site, path, row_number() over (order by path, site) - 1 as number
+from (select page_id, site, {d.tree_path('url')} as path from fx_frames
+      where status < 400 and page_id in (select page_id from fx_tags)) s""",
+    ),
+    ASSET_REFS[0],
+    (
+        "refs",
+        """
+select r.* replace (f.number as page_id),
+       case when raw_ref like '//%' then 'https:' || raw_ref
+            when raw_ref like '/%' then 'https://home.example' || raw_ref else raw_ref end as abs_url
+from page_refs r join files f on f.page_id = r.page_id""",
+    ),
+]
+
+
+def saved_tags() -> list[tuple[str, str]]:
+    rows, rewritten = new_tags(True)[-2:]
+    placed = rows[1].replace("g.page_id, p.site, p.url", "f.number as page_id, p.site, f.path as url")
+    placed = placed.replace("left join matched m on m.page_id = g.page_id", "join files f on f.page_id = g.page_id left join matched m on m.page_id = f.number")
+    return [*catalogue(refs=SAVED_REFS), *MATCHED, ("tag_rows", placed), rewritten]
+
+
+# A reference that is resolved by a base found in the page is to a missing picture, so both give one copy.
+ORACLES["mirror_saved"] = ORACLES["mirror_saved_detected"] = _fx(
+    FX_ALL, "select site, url as path, html from rewritten", saved_tags()
+)
 ORACLES["run_totals"] = _fx(
     FX_ALL + ["fx_pages"],
     """select p.site, p.pages_asked, p.pages_done, r.* exclude (site) from

@@ -24,7 +24,7 @@ from pagework.operators import (
 )
 from pagework.operators.joins import lookup
 from pagework.plans.crawl_site import copy_sites
-from pagework.plans.mirror import collect_assets, flat_names, mirror_languages, mirror_pages
+from pagework.plans.mirror import collect_assets, flat_names, mirror_languages, mirror_pages, mirror_saved
 from pagework.plans.repair import repair_sites
 from pagework.session import tune
 from pagework.sources.scan import scan_pages
@@ -318,6 +318,20 @@ def mirror_page_list(spark, sf_dir):
     return mirror_pages(made_site_pages(spark, sf_dir), assets(spark, sf_dir), Scratch(spark)).files
 
 
+def _saved_files(spark, sf_dir):
+    pages = made_site_pages(spark, sf_dir)
+    return pages.select("site", paths.page_path_tree(F.col("url")).alias("path"), "html")
+
+
+def mirror_saved_pages(spark, sf_dir):
+    base = "https://home.example/x/page.html"
+    return mirror_saved(_saved_files(spark, sf_dir), assets(spark, sf_dir), Scratch(spark), base_url=base).files
+
+
+def mirror_saved_detected(spark, sf_dir):
+    return mirror_saved(_saved_files(spark, sf_dir), assets(spark, sf_dir), Scratch(spark)).files
+
+
 def run_totals(spark, sf_dir):
     asked = view(spark, sf_dir, "fx_pages").select("site", (F.col("status") < 400).alias("ok"))
     return report.run_totals(asked, _collected(spark, sf_dir).resources)
@@ -549,6 +563,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lang_selector": lang_selector,
     "mirror_languages": mirror_in_languages,
     "mirror_pages": mirror_page_list,
+    "mirror_saved": mirror_saved_pages,
+    "mirror_saved_detected": mirror_saved_detected,
     "crawl_copy": crawl_copy,
     "crawl_copy_all": crawl_copy_all,
 }
