@@ -19,6 +19,12 @@ BLANKS = "".join(chr(c) for c in range(0x21))
 # Schemes whose references may be relative to a base of the same scheme.
 HIERARCHICAL_SCHEMES = ["", "file", "ftp", "http", "https", "sftp", "ws", "wss"]
 
+# References that need no parsing: whole web addresses, and paths from the root without dot segments.
+# Both without blanks, control characters, parameters, and without an empty query or fragment.
+WEB_ADDRESS = r"^https?://[^/?#\x00-\x20]+(?:/[^?#\x00-\x20]*)?(?:\?[^#\x00-\x20]+)?(?:#[^\x00-\x20]+)?$"
+ROOT_PATH = r"^/(?!/)[^?#;\x00-\x20]*(?:\?[^#;\x00-\x20]+)?(?:#[^\x00-\x20]+)?$"
+WEB_ORIGIN = r"^https?://[^/?#\x00-\x20]+"
+
 DOT_SEGMENT = r"(?:^|/)\.\.?(?:/|$)"
 
 
@@ -148,12 +154,30 @@ def resolve_parts(base: Column, base_parts: Column, ref: Column) -> Column:
             )
         )
 
-    return F.when(base == "", ref).when(ref == "", base).otherwise(let(split_url(ref), absolute))
+    rooted = b["scheme"].isin("http", "https") & (b["netloc"] != "")
+    return (
+        F.when(base == "", ref)
+        .when(ref == "", base)
+        .when(base.isNotNull() & ref.rlike(WEB_ADDRESS), ref)
+        .when(
+            rooted & ref.rlike(ROOT_PATH) & ~ref.contains("/."),
+            F.concat(b["scheme"], F.lit("://"), b["netloc"], ref),
+        )
+        .otherwise(let(split_url(ref), absolute))
+    )
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of ``ref`` seen from ``base``; NULL if either is NULL."""
-    return let(split_url(base), lambda b: resolve_parts(base, b, ref))
+    """Absolute form of ``ref`` seen from ``base``; NULL if either is NULL.
+
+    The frequent cases are decided before any lambda, which would be interpreted.
+    """
+    origin = F.regexp_extract(base, WEB_ORIGIN, 0)
+    return (
+        F.when(base.isNotNull() & ref.rlike(WEB_ADDRESS), ref)
+        .when((origin != "") & ref.rlike(ROOT_PATH) & ~ref.contains("/."), F.concat(origin, ref))
+        .otherwise(let(split_url(base), lambda b: resolve_parts(base, b, ref)))
+    )
 
 
 def is_remote(ref: Column) -> Column:

@@ -98,3 +98,20 @@ def test_saved_pages_do_not_depend_on_partitions(spark):
         )
     assert seen[0] == seen[1] == seen[2]
     assert len({p for _, p in seen[0][2]}) == 21
+
+
+def test_frequent_references_resolve_like_any_other(apply):
+    from urllib.parse import urljoin
+
+    from pagework.functions.urls import resolve, resolve_parts, split_url
+
+    refs = [
+        "https://a.b", "https://a.b?x", "http://A.b/C d", "HTTP://X/y", "https://x/y?", "https://x/y#", "https://x/a/../b",
+        "https://x/y?q#f", "/x", "/x?", "/x#", "/x?a=1#b", "/.hidden", "/a/./b", "/a/../b", "/a;p", "/a?x;y", "//h/x", "/", "/a.b/c.",
+        "x", "", "https:///x", "http:x", "/a b", " /x", "https://u:p@h:1/x", "/für",
+    ]
+    bases = ["https://e.example/p/1?q", "http://e.example", "https://e.example/a/b/", "ftp://e.example/x"]
+    pairs = [(b, r) for b in bases for r in refs]
+    wanted = [urljoin(b, r) for b, r in pairs]
+    assert apply(resolve, pairs) == wanted
+    assert apply(lambda b, r: resolve_parts(b, split_url(b), r), pairs) == wanted

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pagework.operators.variants import switcher_script
 from workload import duck as d
 from workload.views import with_views
 
@@ -550,7 +549,7 @@ ORACLES["crawl_copy_all"] = copied("true")
 LANGUAGE_BASE = [
     (
         "bases",
-        "select site, min_by(url, page_id) as base_url, min(page_id) as page_id from fx_pages where status < 400 group by site",
+        "select 'p' || page_id || '.' || site as site, url as base_url, page_id from fx_pages where status < 400",
     ),
     (
         "language_pages",
@@ -580,9 +579,24 @@ ORACLES["lang_selector"] = _fx(
 # the bundles only. The selector items are edited in both, the script is added to both.
 LANGUAGE_REFS = [
     ASSET_REFS[0],
-    ("refs", ASSET_REFS[1][1] + " where page_id in (select page_id from language_pages)"),
+    (
+        "refs",
+        ASSET_REFS[1][1].replace("select *,", "select * replace ('p' || page_id || '.' || site as site),")
+        + " where page_id in (select page_id from language_pages)",
+    ),
 ]
 
+# What the copies of a page in several languages hold at the end of their body.
+SCRIPT = (
+    """<script>(function(){var known=["en", "fr", "de"];document.addEventListener('click',function(e){"""
+    """var item=e.target.closest('.language_selector');if(!item)return;var lang=item.getAttribute('data-language');"""
+    """if(known.indexOf(lang)>=0){e.preventDefault();location.href='index-'+lang+'.html';}});"""
+    """document.addEventListener('DOMContentLoaded',function(){"""
+    """var opener=document.getElementById('language_selector_trigger');"""
+    """if(opener)opener.style.cursor='pointer';});})();</script>"""
+)
+
+
 def _language_html(head: str, tags: str) -> str:
     items = "".join(
         f'<li class="item language_selector" data-language="{x}"'
@@ -590,7 +604,7 @@ def _language_html(head: str, tags: str) -> str:
         for x in ("en", "fr", "de")
     )
     items += '<li class="item language_selector" data-language="xx">xx</li>'
-    script = switcher_script(["en", "fr", "de"]).replace("'", "''")
+    script = SCRIPT.replace("'", "''")
     return (
         f"{head} || {tags} || replace(tail, '</body>', '<ul>{items}</ul>{script}</body>')"
     )
@@ -608,7 +622,12 @@ ORACLES["mirror_languages"] = _fx(
         *catalogue(refs=LANGUAGE_REFS),
         *MATCHED,
         *new_tags(True)[len(CATALOGUE) + len(MATCHED) : -1],
-        ("own_rows", "select * from tag_rows where page_id in (select page_id from language_pages)"),
+        (
+            "own_rows",
+            """
+select * replace ('p' || page_id || '.' || site as site) from tag_rows
+where page_id in (select page_id from language_pages)""",
+        ),
         (
             "main_html",
             f"""select page_id, {_language_html('head', "string_agg(new_tag, '' order by pos)")} as html from (

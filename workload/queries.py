@@ -418,6 +418,11 @@ def crawl_copy_all(spark, sf_dir):
 # --- languages
 
 
+def page_site(page, site):
+    """Every page is copied by itself, as a site of its own."""
+    return F.concat(F.lit("p"), page.cast("string"), F.lit("."), site)
+
+
 def language_table(spark, sf_dir):
     """Every made page answers under the URL of each language, with a selector in its body."""
     items = "".join(
@@ -437,16 +442,18 @@ def _language_input(spark, sf_dir):
     return kept.select("site", url.alias("url"), "page_order", "html")
 
 
+def _own_sites(spark, sf_dir):
+    pages = _language_input(spark, sf_dir)
+    return pages.withColumn("site", page_site(F.col("page_order"), F.col("site")))
+
+
 def _language_seeds(spark, sf_dir):
-    return view(spark, sf_dir, "fx_pages").filter("status < 400").groupBy("site").agg(
-        F.min_by("url", "page_id").alias("base_url")
-    )
+    pages = view(spark, sf_dir, "fx_pages").filter("status < 400")
+    return pages.select(page_site(F.col("page_id"), F.col("site")).alias("site"), F.col("url").alias("base_url"))
 
 
 def lang_fanout(spark, sf_dir):
-    found = variants.language_pages(
-        _language_input(spark, sf_dir), _language_seeds(spark, sf_dir), LANGUAGES
-    )
+    found = variants.language_pages(_own_sites(spark, sf_dir), _language_seeds(spark, sf_dir), LANGUAGES)
     return variants.language_files(found).select("site", "path")
 
 
@@ -457,7 +464,7 @@ def lang_selector(spark, sf_dir):
 
 def mirror_in_languages(spark, sf_dir):
     done = mirror_languages(
-        _language_input(spark, sf_dir),
+        _own_sites(spark, sf_dir),
         _language_seeds(spark, sf_dir),
         assets(spark, sf_dir),
         LANGUAGES,
