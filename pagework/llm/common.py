@@ -39,10 +39,12 @@ def crc_remainder(column: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "body"
+) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has about ``limit`` bytes in ``body``, or one row that has more."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column("body")).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         first, total = 0, 0
         for i, size in enumerate(sizes):
             if total and total + size > limit:
@@ -53,8 +55,8 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(first)
 
 
-def bodies(batch: pa.RecordBatch) -> list[bytes]:
-    return [b or b"" for b in batch.column("body").to_pylist()]
+def bodies(batch: pa.RecordBatch, column: str = "body") -> list[bytes]:
+    return [b or b"" for b in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 class Memo(dict):
@@ -69,11 +71,21 @@ class Memo(dict):
         return value
 
 
-def map_texts(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``work`` to every slice of ``rows``."""
+def map_texts(
+    rows: DataFrame,
+    work: Callable[[pa.RecordBatch], pa.RecordBatch],
+    schema: str,
+    column: str = "body",
+    done: Callable[[], None] | None = None,
+) -> DataFrame:
+    """Apply ``work`` to every slice of ``rows``, and call ``done`` at the end of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield work(part)
+        try:
+            for part in slices(batches, column=column):
+                yield work(part)
+        finally:
+            if done:
+                done()
 
     return rows.mapInArrow(run, schema)

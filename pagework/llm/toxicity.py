@@ -252,9 +252,12 @@ class _Scorer:
         return -np.expm1(-evidence)
 
 
-def score_toxicity(docs: DataFrame, net: Network, *columns: str | Column, text: str = "text") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, net: Network, *columns: str | Column, text: str = "text", given: str | None = None
+) -> DataFrame:
     """The given columns with ``score`` from 0 to 1. Null text counts as empty; an empty text gets the
-    answer for an empty window. Repeated rows get the same score, one each."""
+    answer for an empty window. Repeated rows get the same score, one each. ``given`` names the column
+    among the given ones that is the text, so that it need not go twice."""
     held = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.select(*columns)
     names = kept.columns
@@ -263,9 +266,9 @@ def score_toxicity(docs: DataFrame, net: Network, *columns: str | Column, text:
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
             state.append(_Scorer(held.value))
-        scores = state[0](bodies(part))
+        scores = state[0](bodies(part, given or "body"))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores)], [*names, "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
-    return map_texts(rows, score, f"{fields}score double")
+    rows = kept if given else docs.select(*columns, F.col(text).cast("binary").alias("body"))
+    return map_texts(rows, score, f"{fields}score double", column=given or "body")
