@@ -71,15 +71,21 @@ def url_path(url: Column) -> Column:
     return let(let(split_url(url), lambda p: p["path"]), without_parameters)
 
 
+# The version hash at the end of a name, and the characters that names may not hold.
+VERSION_HASH = r"[_-][a-f0-9]{6,}$"
+UNSAFE_IN_NAMES = r'[<>:"|?*]'
+UNSAFE_IN_FLAT_NAMES = r"[^a-zA-Z0-9_-]"
+
+
 def clean_name(name: Column) -> Column:
     """Take one version hash off the end of the stem: ``logo_3154c924.png`` is ``logo.png``."""
-    return F.concat(F.regexp_replace(stem_of(name), r"[_-][a-f0-9]{6,}$", ""), suffix_of(name))
+    return F.concat(F.regexp_replace(stem_of(name), VERSION_HASH, ""), suffix_of(name))
 
 
 def asset_name(url: Column, layout: Layout) -> Column:
     name = base_name(url_path(url))
     name = F.when(name == "", F.lit(layout.default_name)).otherwise(name)
-    return F.regexp_replace(name, r'[<>:"|?*]', "_") if layout.safe_names else name
+    return F.regexp_replace(name, UNSAFE_IN_NAMES, "_") if layout.safe_names else name
 
 
 def asset_suffix(name: Column, kind: Column, layout: Layout) -> Column:
@@ -143,7 +149,7 @@ def page_path_flat(url: Column) -> Column:
     def place(path: Column) -> Column:
         stem = stem_of(base_name(path))
         return F.when(path == "", F.lit("index.html")).otherwise(
-            F.concat(F.regexp_replace(stem, r"[^a-zA-Z0-9_-]", "-"), F.lit(".html"))
+            F.concat(F.regexp_replace(stem, UNSAFE_IN_FLAT_NAMES, "-"), F.lit(".html"))
         )
 
     return let(F.trim(url_path(url), F.lit("/")), place)

@@ -86,6 +86,8 @@ def stem(name: str) -> str:
     return f"left({name}, len({name}) - len({suffix(name)}))"
 
 
+# Fixed values, here and below: the version hash of a name, the suffixes of each folder, the characters
+# of flat names.
 def clean(name: str) -> str:
     return f"regexp_replace({stem(name)}, '[_-][a-f0-9]{{6,}}$', '') || {suffix(name)}"
 
