@@ -151,7 +151,9 @@ def encode_pieces(
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
-    return map_texts(rows, encode, fields + "ids array<int>, text_back string")
+    # Other work may follow in the same process, so a task leaves its runs behind.
+    done = lambda: codec(model_path, verify).table.reset()
+    return map_texts(rows, encode, fields + "ids array<int>, text_back string", done=done)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, *columns: str | Column, ids: str = "ids") -> DataFrame:

@@ -30,7 +30,7 @@ from pagework.sources.scratch import Scratch
 
 LENGTH, GRAM = 200, 32
 #: Bytes of regions that a task sorts at once, and bytes of a text that are hashed at once.
-SORT_BYTES, BLOCK = 4 << 20, 1 << 20
+SORT_BYTES, BLOCK = 4 << 20, 1 << 19
 #: Different regions of an anchor that one task sorts: about as many as it sorts at once.
 GROUP_LIMIT = SORT_BYTES // 256
 _BASE = 0x9E3779B97F4A7C15
