@@ -18,95 +18,133 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, slices
+from pagework.llm.common import Memo, bodies, slices
 from pagework.llm.ragged import RaggedTable
 from pagework.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 from pagework.operators.ordering import running_total
 
 #: Bytes of text for each file, about.
 FILE_BYTES = 16 << 20
-WORDS = 600_000
+WORDS = 500_000
 _BATCH = 2000
 #: Characters that are neither letters nor digits nor white space nor part of a contraction or a special token.
 _PUNCTUATION = b".,;:!?()[]{}\"*#$%&+-=/@_~^`"
 
 
+class _Parts:
+    """Ids of parts of words, by the number of the part, in arrays."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        mark = tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for piece, i in tokenizer.get_vocab().items():
+            self.ends[i] = bool(mark) and piece.endswith(mark)
+        self.reset()
+
+    def reset(self) -> None:
+        self.numbers, self.pending = Memo(self._new), []
+        self.starts = self.lengths = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+
+    def _new(self, part: bytes) -> int:
+        self.pending.append(part)
+        return len(self.starts) + len(self.pending) - 1
+
+    def absorb(self, batch: int = _BATCH) -> None:
+        """Encode the new parts: many at once, of which each ends in a piece with the end-of-word mark."""
+        made, lengths = [], []
+        for at in range(0, len(self.pending), batch):
+            some = self.pending[at : at + batch]
+            ids = self._ids(b" ".join(some))
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if batch > 1 and len(ends) == len(some) and ends[-1] == len(ids):
+                made.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+            else:  # one of them is more than one word to the pre-tokenizer
+                each = [self._ids(p) for p in some]
+                made += each
+                lengths.append(np.array([len(e) for e in each], np.int64))
+        if made:
+            new = np.concatenate(lengths)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
+            self.lengths = np.concatenate([self.lengths, new])
+            self.flat = np.concatenate([self.flat, *made])
+            self.pending = []
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        text = text.decode("utf-8", "replace")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts end to end, and where each part's end."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)
+        return self.flat[at], ends
+
+
+def _split(word: bytes) -> tuple[bytes, ...] | None:
+    """Punctuation, letters, punctuation; None if the word is not built so."""
+    if word.isalpha():  # ASCII letters, whose lower case is what the normaliser makes of them
+        return (word.lower(),)
+    core = word.strip(_PUNCTUATION)
+    if core.isalpha():
+        lower = core.lower()
+    elif not core:
+        return (word,)
+    elif core.decode("utf-8", "replace").isalpha():
+        lower = core
+    else:
+        return None
+    if len(core) == len(word):
+        return (lower,)
+    if word.startswith(core):
+        return (lower, word[len(core) :])
+    head, _, tail = word.partition(core)
+    return (head, lower, tail) if tail else (head, lower)
+
+
 class WordEncoder:
     """Ids of white-space separated words by a ``tokenizers`` file that drops white space.
 
     Words are encoded by themselves, each distinct one once. Most are letters between punctuation, which
     the pre-tokenizer splits there: letters and punctuation are then encoded apart, so that a word is known
-    whatever stands beside it. They go to the library in long batches, where the pieces of one end in a
-    piece with the end-of-word mark. Other words go one by one.
+    whatever stands beside it. Other words stay whole.
     """
 
     def __init__(self, path: str, words: int = WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are busy with other tasks
-        self.tokenizer = Tokenizer.from_file(path)
-        mark = self.tokenizer.model.end_of_word_suffix
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = bool(mark) and piece.endswith(mark)
-        self.parts: dict[bytes, list[int]] = {}
-        self.table = RaggedTable(self._encode_words, words)
-
-    @staticmethod
-    def _split(word: bytes) -> tuple[bytes, ...] | None:
-        """Punctuation, letters, punctuation; None if the word is not built so."""
-        if word.isalpha():  # ASCII letters, whose lower case is what the normaliser makes of them
-            return (word.lower(),)
-        core = word.strip(_PUNCTUATION)
-        if core.isalpha():
-            lower = core.lower()
-        elif not core:
-            return (word,)
-        elif core.decode("utf-8", "replace").isalpha():
-            lower = core
-        else:
-            return None
-        if len(core) == len(word):
-            return (lower,)
-        if word.startswith(core):
-            return (lower, word[len(core) :])
-        head, _, tail = word.partition(core)
-        return (head, lower, tail) if tail else (head, lower)
-
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        split = list(map(self._split, words))
-        if len(self.parts) > 2 * self.table.limit:
-            self.parts = {}
-        parts = self.parts
-        fresh = list(dict.fromkeys(p for s in split if s for p in s if p not in parts))
-        for at in range(0, len(fresh), _BATCH):
-            some = fresh[at : at + _BATCH]
-            ids = self._ids(b" ".join(some))
-            ends = np.nonzero(self.ends[ids])[0] + 1
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
-                flat, begin = ids.tolist(), 0
-                for p, end in zip(some, ends.tolist()):
-                    parts[p] = flat[begin:end]
-                    begin = end
-            else:  # a part that the pre-tokenizer splits after all
-                for p in some:
-                    parts[p] = self._ids(p).tolist()
-        made = []
-        for word, s in zip(words, split):
-            if s is None:
-                made.append(self._ids(word).tolist())
-            elif len(s) == 1:
-                made.append(parts[s[0]])
+        self.parts = _Parts(Tokenizer.from_file(path))
+        self.table = RaggedTable(self._parts_of, words)
+
+    def _parts_of(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        number = self.parts.numbers.__getitem__
+        made, odd = [], []
+        for i, word in enumerate(words):
+            split = _split(word)
+            if split is None:
+                odd.append(i)
+                made.append(())
             else:
-                made.append([i for p in s for i in parts[p]])
+                made.append(tuple(map(number, split)))
+        self.parts.absorb()
+        for i in odd:  # whole words go one by one
+            made[i] = (number(words[i]),)
+        self.parts.absorb(1)
         return made
 
-    def _ids(self, text: bytes) -> np.ndarray:
-        text = text.decode("utf-8", "replace")
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.encode([t.split() for t in texts])
+        """Ids of all texts end to end, and the number of ids of each."""
+        if self.table.size > self.table.limit:
+            self.table.reset()
+            self.parts.reset()
+        numbers, counts = self.table.encode([t.split() for t in texts])
+        ids, ends = self.parts.ids(numbers)
+        up_to = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(up_to)
 
 
 @cache
