@@ -119,3 +119,47 @@ def test_run_over_empty_and_small_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_matches(words, item, answer):
+    """Whether a window that begins at a block matches by either rule, all windows tried."""
+    blocks, size, n = -(-len(words) // 8), -(-len(item) // 8) + 1, len(item)
+    for at in range(max(1, blocks - size + 1)):
+        window = words[8 * at : 8 * at + 8 * (size + 1)]
+        share = common_subsequence(item, window) / n
+        held = len(answer) < n and any(window[i : i + len(answer)] == answer for i in range(len(window)))
+        if share >= 0.8 or (share >= 0.6 and held):
+            return True
+    return False
+
+
+def test_both_rules_equal_all_windows_in_small_and_large_tables(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = Items.read([(r.item_id, r.text) for r in bench.collect()])
+    texts = {r.item_id: (r.text or "").split() for r in bench.collect()}
+    rng = np.random.default_rng(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    vocabulary = sorted({w for _, t in rows[:50] for w in (t or "").split()})
+    planted = []
+    for k in range(120):
+        words = list(texts[items.ids[k % len(items.ids)]])
+        end = len(words) - 8
+        for at in rng.choice(max(end, 1), int(max(end, 1) * rng.uniform(0.1, 0.5)), replace=False):
+            words[at] = str(rng.choice(vocabulary))
+        around = [str(w) for w in rng.choice(vocabulary, int(rng.integers(0, 60)))]
+        planted.append((10**6 + k, " ".join([*around, *words, *around])))
+    wanted = set()
+    for d, t in rows + planted:
+        words = hashed_words([(t or "").encode()])[0].tolist()
+        seen = Counter(words)
+        for i, item, answer in zip(items.ids, items.words, items.answers):
+            if sum(min(n, seen[w]) for w, n in Counter(item).items()) >= 0.6 * len(item) and plain_matches(words, item, answer):
+                wanted.add((d, i))
+    found = {}
+    for name, table in (("small", planted), ("large", rows + planted)):
+        out = contaminated(spark.createDataFrame(table, "doc_id long, text string"), bench).collect()
+        found[name] = {(r.doc_id, r.item_id) for r in out}
+        assert len(out) == len(found[name])
+    assert len({d for d, _ in wanted if d >= 10**6}) > 40
+    assert found["large"] == wanted
+    assert found["small"] == {w for w in wanted if w[0] >= 10**6}
