@@ -163,3 +163,10 @@ def test_both_rules_equal_all_windows_in_small_and_large_tables(spark):
     assert len({d for d, _ in wanted if d >= 10**6}) > 40
     assert found["large"] == wanted
     assert found["small"] == {w for w in wanted if w[0] >= 10**6}
+
+
+def test_small_tables_have_axes(spark):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    rows = [(k, r.text) for k, r in enumerate(bench.collect())]
+    out = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {r.doc_id for r in out.collect() if r.share == 1 and r.cosine > 0.7} == {k for k, t in rows if hashed_words([(t or "").encode()])[1][0]}
