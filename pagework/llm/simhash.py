@@ -319,3 +319,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *args, **options) -> Data
     one each. An empty table gives an empty result.
     """
     return grouped(docs, scratch, *args, **options).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, scratch: Scratch, *args, **options) -> DataFrame:
+    """``(doc_id, tie)`` of one row of each component: the least id, null last, then the least hash of the
+    text; arguments as for ``grouped``. An empty table gives an empty result."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    chosen = grouped(docs, scratch, *args, **options).groupBy("root").agg(F.min(order).alias("c"))
+    return chosen.select("c.doc_id", "c.tie")

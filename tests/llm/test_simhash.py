@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pagework.llm import simhash
-from pagework.llm.simhash import Partitions, choose_parts, fingerprint, group_bits, near_duplicates, near_links
+from pagework.llm.simhash import Partitions, choose_parts, fingerprint, group_bits, near_duplicates, near_links, representatives
 from pagework.sources.scratch import Scratch
 
 
@@ -106,5 +106,13 @@ def test_odd_rows(spark):
     assert empty.columns == ["doc_id", "fp", "component_id"] and empty.count() == 0
 
 
+def test_representatives_are_the_least_of_their_component(spark):
+    rows = [(4, "a b c d e"), (2, "A b c d e"), (2, "A b c d e"), (None, "a b c d e"), (7, None), (6, " "), (None, "alone with no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = representatives(docs, Scratch(spark))
+    assert sorted((r.doc_id for r in chosen.collect()), key=str) == [2, 6, None]
+    assert representatives(docs.limit(0), Scratch(spark)).count() == 0
+
+
 def test_bucket_limit_is_not_a_cap():
     assert simhash.BUCKET_LIMIT >= 65
