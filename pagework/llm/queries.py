@@ -18,6 +18,7 @@ from pagework.llm.repeats import remove_repeats
 from pagework.llm.simhash import near_duplicates
 from pagework.llm.token_files import read_token_files, write_token_files
 from pagework.llm.toxicity import fit_toxicity, score_toxicity
+from pagework.llm.vector_codes import compress_vectors
 from pagework.sources.scratch import Scratch
 
 TOXIC_FROM = 0.7
@@ -107,6 +108,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return compress_vectors(vectors, Scratch(spark), "vec_id").select(
+        "vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256")
+    )
+
+
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -118,5 +126,6 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op13_vector_codes": op13_vector_codes,
 }
 CORPUS_ORACLES: dict[str, str] = {}
