@@ -11,6 +11,7 @@ from pagework.llm.common import crc_remainder, prepare, table
 from pagework.llm.decontaminate import contaminated
 from pagework.llm.html_text import extract_text
 from pagework.llm.langid import fit_language_model, predict_language
+from pagework.llm.periodic import periodic_runs
 from pagework.llm.piece_codec import encode_pieces
 from pagework.llm.piece_count import count_pieces
 from pagework.llm.quality import judge_quality
@@ -108,6 +109,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of documents; in every tenth text the words from some place on are replaced by the
+    first few of them over and over. The place and the number of words follow from crc32 of the id as text, a
+    null id counting as the empty text."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    cycles = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    cyclic = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(cycles, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(cyclic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_cycles(table(prepare(spark), sf_dir, "documents"))
+    found = periodic_runs(docs, "doc_id")
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))
+    best = found.withColumn("best", F.array_min(ranked)).withColumn("length", -F.col("best.less"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        "length",
+        F.col("best.period").alias("period"),
+        F.floor(F.col("length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(prepare(spark), sf_dir, "embeddings")
     return compress_vectors(vectors, Scratch(spark), "vec_id").select(
@@ -126,6 +161,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
 CORPUS_ORACLES: dict[str, str] = {}
