@@ -11,6 +11,7 @@ from pagework.llm.common import crc_remainder, prepare, table
 from pagework.llm.decontaminate import contaminated
 from pagework.llm.html_text import extract_text
 from pagework.llm.langid import fit_language_model, predict_language
+from pagework.llm.lm_scores import score_texts
 from pagework.llm.periodic import periodic_runs
 from pagework.llm.piece_codec import encode_pieces
 from pagework.llm.piece_count import count_pieces
@@ -24,6 +25,7 @@ from pagework.sources.scratch import Scratch
 
 TOXIC_FROM = 0.7
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 1
 
 
@@ -109,6 +111,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = crc_remainder(F.col("doc_id"), 7) == 2
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    ranks = tokenizer_path(BYTE_RANKS)
+    return score_texts(docs, ~F.col("held_out"), Scratch(spark), ranks, public_tokenizers.PATTERN, "doc_id", "held_out")
+
+
 def with_cycles(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of documents; in every tenth text the words from some place on are replaced by the
     first few of them over and over. The place and the number of words follow from crc32 of the id as text, a
@@ -161,6 +172,7 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op11_lm_scores": op11_lm_scores,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
