@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from pagework.functions import paths, urls
 from pagework.functions.css import css_urls, is_kept
 from pagework.functions.paths import Layout
 from pagework.operators.joins import lookup, salted_join
 from pagework.operators.ordering import page_slice, running_total
+from pagework.sources.scan import decode_text
 from pagework.sources.scratch import Scratch
 
 FIRST = ["page_order", "rank", "pos", "cand_pos", "sub_pos"]
@@ -20,6 +22,13 @@ def best_status(assets: DataFrame) -> DataFrame:
     return assets.groupBy("url").agg(F.min("status").alias("status"))
 
 
+def text_assets(assets: DataFrame) -> DataFrame:
+    """Assets with their bodies as text, if they are bytes. Only bodies of sheets and scripts are then read."""
+    if isinstance(assets.schema["content"].dataType, BinaryType):
+        return assets.withColumn("content", decode_text(F.col("content")))
+    return assets
+
+
 def body_of(assets: DataFrame, urls_: DataFrame) -> DataFrame:
     """``(url, content)`` of the fetched URLs in ``urls_(url)``, each once. Only URLs that were fetched
     more than once are compared by their bodies."""

@@ -19,12 +19,14 @@ from pagework.sources.scratch import Scratch
 @dataclass
 class Mirror:
     """Result of a copy. ``files(site, path, html)``, ``chunks`` of the bundles (or single
-    ``sheets`` and scripts without consolidation), the ``resources`` and the run's ``totals``."""
+    ``sheets`` and scripts without consolidation), the ``resources``, the run's ``totals`` and the ``bodies`` of
+    style sheets and scripts with local addresses."""
 
     files: DataFrame
     chunks: DataFrame
     resources: DataFrame
     totals: DataFrame
+    bodies: DataFrame
 
 
 @dataclass
@@ -42,6 +44,7 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
 
     Page text is read once, to make ``refs``; from there on only references move.
     """
+    assets = resources.text_assets(assets)
     refs = scratch.keep(refs, "refs")
     firsts = scratch.keep(resources.first_seen(refs), "first_seen")
     sheets = firsts.filter(F.col("first.kind") == "css")
@@ -179,9 +182,9 @@ def _result(
     files: DataFrame, pages: DataFrame, found: Assets, consolidate: bool, asked: DataFrame | None = None
 ) -> Mirror:
     if consolidate:
-        chunks = bundles.bundle_chunks(found.bodies)
+        chunks = bundles.bundle_chunks(found.bodies, found.resources)
     else:
         chunks = found.bodies.select("site", "kind", F.col("local_path").alias("path"), "content")
     if asked is None:
         asked = pages.select("site", F.lit(True).alias("ok"))
-    return Mirror(files, chunks, found.resources, report.run_totals(asked, found.resources))
+    return Mirror(files, chunks, found.resources, report.run_totals(asked, found.resources), found.bodies)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from pagework.operators import linkfix
+from pagework.sources.backups import BackupStore
 from pagework.sources.scratch import Scratch
 
 
@@ -29,19 +30,24 @@ def repair_sites(
     backup: bool = True,
     stored: DataFrame | None = None,
     resolve: str = "root",
+    store: BackupStore | None = None,
 ) -> Repair:
     """Replace the broken links of ``files(site, path, html)``.
 
-    ``stored(site, path)`` lists what exists in the site, images included; by default the files.
+    ``stored(site, path)`` lists what exists in the site, images included; by default the files. With a
+    ``store`` the backups are written there before anything else, as a new generation.
     """
     links = scratch.keep(linkfix.file_links(files), "links")
     present = files.select("site", "path") if stored is None else stored
     broken = linkfix.broken_links(links, present, resolve)
     fallback = local_fallback if use_local_fallback else None
     fixes = scratch.keep(linkfix.plan_fixes(broken, replacement_url, fallback), "fixes")
+    backups = linkfix.backups_of(files, fixes) if backup or store is not None else None
+    if store is not None:
+        store.add(backups)
     return Repair(
         linkfix.fix_links(files, fixes),
         fixes,
-        linkfix.backups_of(files, fixes) if backup else None,
+        backups,
         linkfix.fix_report(files, fixes),
     )

@@ -1,15 +1,12 @@
-"""Writing pages, bundles, backups and site maps."""
+"""Writing pages, bundles and site maps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.operators.linkfix import backups_of
 from pagework.operators.sitemap import sitemap_lines
+from pagework.sources.site_files import save_files
 
 
 def write_pages(pages: DataFrame, path: str, by_site: bool = False) -> None:
@@ -42,20 +39,6 @@ def write_bundles(chunks: DataFrame, path: str) -> None:
     )
 
 
-def write_backups(files: DataFrame, fixes: DataFrame, path: str, earlier: str | None = None) -> None:
-    """The original text of the files that ``fixes`` changes, before they are overwritten.
-
-    ``earlier`` is the folder of the last run's backups. They go along into the new folder, which must
-    be another one; of a file that both runs change the new backup counts.
-    """
-    made = backups_of(files, fixes)
-    if earlier is not None:
-        old = files.sparkSession.read.parquet(earlier)
-        changed = fixes.select("site", "path").distinct()
-        made = made.unionByName(old.join(changed, ["site", "path"], "left_anti"))
-    made.write.mode("overwrite").parquet(path)
-
-
 def write_sitemap(rows: DataFrame, path: str, lines: bool = False) -> None:
     """Site map rows as Parquet, or as lines of text; both keep the order of the rows."""
     if lines:
@@ -64,27 +47,7 @@ def write_sitemap(rows: DataFrame, path: str, lines: bool = False) -> None:
         rows.write.mode("overwrite").parquet(path)
 
 
-def export_files(spark: SparkSession, pages: DataFrame, root: str) -> int:
-    """Write every page ``(site, path, html)`` to its own file below ``root``, from the tasks.
-
-    ``root`` must be a folder that all executors share. A task that runs twice writes the same files
-    again. Paths that would leave the folder are refused. Returns the number of files.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for site, path, html in zip(batch["site"], batch["path"], batch["html"]):
-                inside = "/".join(p for p in (site, path) if p)
-                if any(step in ("..", "") for step in inside.split("/")):
-                    raise ValueError(f"not a path inside the site: {inside}")
-                target = f"{base}/{inside}"
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(target) as out:
-                    out.write(html.encode("utf-8"))
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    written = pages.select("site", "path", "html").mapInPandas(write, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def export_files(pages: DataFrame, root: str) -> DataFrame:
+    """Write every page ``(site, path, html)`` to its own file below ``root``, from the tasks, and return the
+    pages that were refused as ``(site, path, reason)``. ``root`` must be a folder that all executors share."""
+    return save_files(pages.select("site", "path", F.col("html").cast("binary").alias("body")), root)

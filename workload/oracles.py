@@ -442,6 +442,74 @@ ORACLES["run_totals"] = _fx(
     CATALOGUE,
 )
 
+# --- copies as files
+
+GIVEN_ASSETS = [
+    ("sheets", f"select *, 'css/' || n || '_' || {d.hash8('url')} || '.css' as path from fx_given_assets where kind = 'css' and status < 400"),
+    ("scripts", f"select *, 'js/' || n || '_' || {d.hash8('url')} || '.js' as path from fx_given_assets where kind = 'js'"),
+    ("pictures", "select *, 'images/' || n || '.png' as path from fx_given_assets where kind = 'image' and status < 400"),
+    ("seen", "select site, 'https://' || site || '/img/' || (page_id % 11) || '.png' as url from fx_given union select site, 'https://' || site || '/img/' || (n + 3) || '.png' from sheets"),
+    (
+        "sheet_text",
+        """
+select s.site, s.url, s.n, s.path,
+       case when p.path is null then s.content else '.p{background:url(../' || p.path || ')}' end as body
+from sheets s left join pictures p on p.site = s.site and p.n = s.n + 3""",
+    ),
+    (
+        "chunks",
+        """
+select g.site, 'css' as kind, min(g.page_id) as first, t.url, t.body
+from fx_given g join sheet_text t on t.site = g.site and t.n = g.page_id % 7 group by g.site, t.url, t.body
+union all
+select g.site, 'js' as kind, min(g.page_id) as first, j.url, j.content as body
+from fx_given g join scripts j on j.n = g.page_id % 5 group by g.site, j.url, j.content""",
+    ),
+    (
+        "copied_pages",
+        f"""
+select g.site, g.url, g.page_id,
+       case when s.n is null then css_tag else '<link rel="stylesheet" href="css/all-styles.css">' end
+         || '<script src="js/all-scripts.js"></script>'
+         || case when p.n is null then img_tag else '<img src="' || p.path || '">' end || html as html,
+       {d.flat_path('g.url')} as name, case when s.n is null then 0 else 1 end + 1 + case when p.n is null then 0 else 1 end as n_refs
+from fx_given g left join sheets s on s.site = g.site and s.n = g.page_id % 7
+left join pictures p on p.site = g.site and p.n = g.page_id % 11""",
+    ),
+    (
+        "file_texts",
+        f"""
+select site, case when row_number() over (partition by site, name order by page_id, url) = 1 then name
+         else regexp_replace(name, '\\.html$', '') || '_' || {d.hash8('url')} || '.html' end as path, html as body from copied_pages
+union all select site, path, body from sheet_text
+union all select distinct g.site, j.path, j.content from fx_given g join scripts j on j.n = g.page_id % 5
+union all
+select site, kind || case kind when 'css' then '/all-styles.css' else '/all-scripts.js' end,
+       string_agg(chr(10) || '/* Source: ' || url || ' */' || chr(10) || body, chr(10) order by first)
+from chunks group by site, kind""",
+    ),
+]
+ORACLES["saved_copy"] = _fx(
+    ["fx_given", "fx_given_assets"],
+    """
+select site, path, cast(octet_length(encode(body)) as bigint) as length, md5(body) as digest from file_texts
+union all
+select p.site, p.path, cast(16 as bigint), md5(unhex(md5(p.url))) from pictures p join seen s on s.site = p.site and s.url = p.url""",
+    GIVEN_ASSETS,
+)
+ORACLES["saved_copy_references"] = _fx(
+    ["fx_given", "fx_given_assets"],
+    "select site, cast(sum(n_refs) as bigint) as n_refs, cast(0 as bigint) as n_missing from copied_pages group by site",
+    GIVEN_ASSETS,
+)
+_TREE = d.tree_path("url")
+ORACLES["page_export"] = f"""
+select distinct site, case k when 1 then '../' || place when 2 then repeat('x', 300) || place when 3 then null else page_id || '/' || place end as path,
+       case k when 1 then 'not a path inside the site' when 2 then 'a name that is too long' when 3 then 'no path' end as reason,
+       case when k not in (1, 2, 3) then cast(len(html) + 1 as bigint) end as n_chars,
+       case when k not in (1, 2, 3) then md5(chr(65533) || html) end as digest
+from (select {SITE} as site, {_TREE} as place, page_id % 10 as k, page_id, html from pages) p"""
+
 # --- crawl over the made links
 
 PLAIN_URL = "'https://' || site || '/p/' || page_id"
@@ -700,3 +768,5 @@ select site, count(*) as files_processed, count(*) filter (links > 0) as files_c
        cast(sum(links) as bigint) as links_fixed from fixed group by site"""
 ORACLES["restore_pages"] = f"""{FIXED}
 select f.site, f.path, s.html, f.links > 0 as restored from fixed f join saved s on s.site = f.site and s.path = f.path"""
+# A file that both repairs change comes back as it was before the first.
+ORACLES["restore_generations"] = ORACLES["restore_pages"]

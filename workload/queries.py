@@ -26,12 +26,15 @@ from pagework.operators.joins import lookup
 from pagework.plans.crawl_site import copy_sites
 from pagework.plans.mirror import collect_assets, flat_names, mirror_languages, mirror_pages, mirror_saved
 from pagework.plans.repair import repair_sites
+from pagework.plans.save import save_copy, saved_references
 from pagework.session import tune
-from pagework.sources.scan import scan_pages
+from pagework.sources.backups import BackupStore
+from pagework.sources.scan import decode_text, scan_pages
 from pagework.sources.scratch import Scratch
+from pagework.sources.site_files import read_files, save_files
 from workload.views import with_views
 
-BASE_TABLES = ["orders", "lineitem", "part"]
+BASE_TABLES = ["orders", "lineitem", "part", "pages"]
 REPLACEMENT = "https://home.example/start"
 LANGUAGES = ["en", "fr", "de"]
 
@@ -294,11 +297,14 @@ def css_rewrite(spark, sf_dir):
 
 
 def css_bundle(spark, sf_dir):
-    return bundles.bundle_chunks(_collected(spark, sf_dir).bodies)
+    found = _collected(spark, sf_dir)
+    return bundles.bundle_chunks(found.bodies, found.resources)
 
 
 def bundle_text(spark, sf_dir):
-    parts = bundles.bundle_parts(bundles.bundle_chunks(_collected(spark, sf_dir).bodies))
+    found = _collected(spark, sf_dir)
+    chunks = Scratch(spark).keep(bundles.bundle_chunks(found.bodies, found.resources), "chunks")
+    parts = bundles.bundle_parts(chunks)
     return parts.select("site", "kind", "part", F.md5("text").alias("digest"))
 
 
@@ -415,6 +421,52 @@ def crawl_copy_all(spark, sf_dir):
     return _copied(spark, sf_dir).files
 
 
+# --- copies as files
+
+
+def _saved_copy(spark, sf_dir):
+    """A copy of the given pages with elements, written as files: the folder it is in."""
+    rows = view(spark, sf_dir, "fx_given", "select page_id, url, concat(css_tag, js_tag, img_tag, html) as html from {}")
+    kept = view(spark, sf_dir, "fx_given_assets")
+    body = F.when(F.col("kind") == "image", F.unhex(F.md5("url"))).otherwise(F.col("content").cast("binary"))
+    kept = kept.select("url", "status", body.alias("content"))
+    scratch = Scratch(spark)
+    copy = mirror_pages(scan_pages(rows), kept, scratch)
+    root = scratch.place("copy")
+    save_copy(copy, kept, root, FLAT, scratch)
+    return root
+
+
+def saved_copy(spark, sf_dir):
+    found = read_files(spark, _saved_copy(spark, sf_dir))
+    return found.select("site", "path", "length", F.md5("content").alias("digest"))
+
+
+def saved_copy_references(spark, sf_dir):
+    files = Scratch(spark).keep(read_files(spark, _saved_copy(spark, sf_dir)), "files")
+    return saved_references(files)
+
+
+def page_export(spark, sf_dir):
+    """The given pages as files, some of them under paths that cannot be: what is found again, and what was refused."""
+    path, id_ = paths.page_path_tree(F.col("url")), F.col("page_order")
+    odd = (
+        F.when(id_ % 10 == 1, F.concat(F.lit("../"), path))
+        .when(id_ % 10 == 2, F.concat(F.repeat(F.lit("x"), 300), path))
+        .when(id_ % 10 == 3, F.lit(None).cast("string"))
+        .otherwise(F.concat(id_.cast("string"), F.lit("/"), path))
+    )
+    html = F.concat(F.lit("\ufffd"), "html")
+    rows = given_pages(spark, sf_dir).select("site", odd.alias("path"), F.concat(html.cast("binary"), F.unhex(F.lit("FF"))).alias("body"))
+    root = Scratch(spark).place("export")
+    refused = save_files(rows, root)
+    found = read_files(spark, root, suffixes=(".html", ".htm"))
+    text = decode_text(F.col("content"))
+    return found.select("site", "path", F.lit(None).cast("string").alias("reason"), F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest")).unionByName(
+        refused.groupBy("site", "path", "reason").agg(F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("digest"))
+    )
+
+
 # --- languages
 
 
@@ -518,6 +570,19 @@ def restore_pages(spark, sf_dir):
     return linkfix.restore(done.files, done.backups)
 
 
+def restore_generations(spark, sf_dir):
+    """Two repairs, the second of which undoes the local links of the first, and one restore from the store."""
+    scratch = Scratch(spark)
+    store = BackupStore(spark, scratch.place("backups"))
+    first = repair_sites(saved_site(spark, sf_dir), scratch, use_local_fallback=True, store=store)
+    once = scratch.keep(first.files, "repaired")
+    second = repair_sites(once, scratch, replacement_url=REPLACEMENT, store=store)
+    twice = scratch.keep(second.files, "repaired")
+    back = scratch.keep(store.restore(twice), "restored")
+    store.clear()
+    return back
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_scan": page_scan,
     "element_counts": element_counts,
@@ -553,6 +618,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fix_links_local": fix_links_local,
     "fix_report": fix_report,
     "restore_pages": restore_pages,
+    "restore_generations": restore_generations,
     "css_bundle": css_bundle,
     "bundle_text": bundle_text,
     "first_of_kind": first_of_kind,
@@ -566,6 +632,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sitemap": site_map,
     "sitemap_stats": sitemap_stats,
     "run_totals": run_totals,
+    "saved_copy": saved_copy,
+    "saved_copy_references": saved_copy_references,
+    "page_export": page_export,
     "lang_fanout": lang_fanout,
     "lang_selector": lang_selector,
     "mirror_languages": mirror_in_languages,
