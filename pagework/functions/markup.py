@@ -9,6 +9,7 @@ quote makes the regular expression engine recurse.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,36 +83,72 @@ def tag_name(tag: Column) -> Column:
     return F.lower(F.regexp_extract(tag, r"^<([a-zA-Z][^\s/>]*)", 1))
 
 
-# The named character references that are decoded. Numeric ones always are.
-NAMED_REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 WHITE_SPACE = " \t\n\r\f\v"
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+# A character reference: a number of any length, or a name that may be cut short by what follows it.
+REFERENCE = r"&(?:#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[^\t\n\f <&#;]{1,32}+;?+)"
+#: Names that need no semicolon also count at the start of a longer word.
+_SHORT_NAMES = {name: text for name, text in html5.items() if not name.endswith(";")}
+REPLACEMENT = "\ufffd"
+
+
+def _table(names: dict[str, str]) -> Column:
+    """A map as one literal, which the optimizer makes once for a query."""
+    pairs = "\x02".join(f"{name}\x01{text}" for name, text in names.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+
+
+def _character(digits: Column, base: int) -> Column:
+    """The character of a numeric reference. Numbers of the C1 controls mean the characters that Windows has
+    there; zero, surrogates and numbers beyond Unicode are replaced; other controls and noncharacters vanish."""
+    short = F.ltrim(digits, F.lit("0"))
+    most = 7 if base == 10 else 6
+
+    def of(number: Column) -> Column:
+        windows = F.array(*(F.lit(_windows_character(n)) for n in range(0x80, 0xA0)))
+        noncharacter = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+        control = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+        return (
+            F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), F.lit(REPLACEMENT))
+            .when(number.between(0x80, 0x9F), F.get(windows, number - 0x80))
+            .when(control | noncharacter, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        )
+
+    known = let(F.conv(F.concat(F.lit("0"), short), base, 10).cast("long").cast("int"), of)
+    return F.when(F.length(short) > most, F.lit(REPLACEMENT)).otherwise(known)
+
+
+def _windows_character(number: int) -> str:
+    try:
+        return bytes([number]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(number)
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    code = F.conv(digits, base, 16)
-    valid = F.length(F.ltrim(code, F.lit("0"))) <= 5
-    surrogate = F.lpad(code, 8, "0").rlike("^0000D[89A-F]")
-    return F.when(
-        valid & ~surrogate, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-    ).otherwise(F.lit("�"))
+def _named(name: Column) -> Column:
+    """The text of a named reference: the whole name, else the longest start of it that is one, else itself."""
+    longest = max(map(len, _SHORT_NAMES))
+    starts = [
+        F.when(F.length(name) > n, F.concat(F.try_element_at(_table(_SHORT_NAMES), F.left(name, F.lit(n))), F.substr(name, F.lit(n + 1))))
+        for n in range(longest, 1, -1)
+    ]
+    # The usual one is told apart first; the table is searched name by name.
+    whole = F.when(name == "amp;", F.lit("&")).otherwise(F.try_element_at(_table(html5), name))
+    return F.coalesce(whole, *starts, F.concat(F.lit("&"), name))
 
 
 def _decode_one(ref: Column) -> Column:
-    named = F.lit(None).cast("string")
-    for name, char in NAMED_REFERENCES.items():
-        named = F.when(ref == f"&{name};", F.lit(char)).otherwise(named)
-    hexadecimal = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-    decimal = F.regexp_extract(ref, r"^&#([0-9]+);$", 1)
+    hexadecimal = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1)
+    decimal = F.regexp_extract(ref, r"^&#([0-9]+)", 1)
     return (
-        F.when(hexadecimal != "", _code_point(hexadecimal, 16))
-        .when(decimal != "", _code_point(decimal, 10))
-        .otherwise(named)
+        F.when(hexadecimal != "", _character(hexadecimal, 16))
+        .when(decimal != "", _character(decimal, 10))
+        .otherwise(_named(F.substr(ref, F.lit(2))))
     )
 
 
 def decode_references(text: Column) -> Column:
-    """Replace character references by their characters."""
+    """Replace character references by their characters, as a browser reads text."""
 
     def decode(t: Column) -> Column:
         gaps = F.split(t, REFERENCE, -1)

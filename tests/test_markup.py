@@ -1,3 +1,6 @@
+import html
+import random
+from html.entities import html5
 from html.parser import HTMLParser
 
 from hypothesis import HealthCheck, given, settings
@@ -105,3 +108,17 @@ def test_css_references(apply):
     pos = found[0][0]["pos"]
     edit = F.expr(f"array(named_struct('pos', {pos}L, 'value', 'NEW'))")
     assert apply(lambda t: css.splice_css(t, edit), [text]) == [text.replace("url('x.png')", "url(NEW)")]
+
+
+def test_all_character_references(apply):
+    rng = random.Random(5)
+    names = sorted(html5)
+    texts = [f"&{n}" for n in names] + [f"a&{n.rstrip(';')}b&{n}" for n in names]
+    texts += [f"&#{n};" for n in [*range(0, 300), 0xB, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000]]
+    texts += [f"&#x{n:x}" for n in (0, 9, 13, 128, 150, 159, 160, 0x20AC, 0x1F600, 0xD900, 0x100000, 0x10FFFF, 10**30)]
+    texts += ["&#" + "0" * 50 + "65;", "&#x" + "0" * 50 + "41z", "&#" + "9" * 40, "&#;", "&#x;", "&;", "&", "a & b", "&& &amp;amp;", "&ampersand", "?a=1&copy=2&ref=x&lt", "&" + "x" * 40 + ";", "&notit;", "&notin;", "&eacute&eacute;"]
+    pieces = ["&", "#", "x", "amp", "lt", "not", "in", ";", "65", "e", " ", "=", "Eacute", "é", "<", "\n"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    got = apply(markup.decode_references, texts)
+    wrong = [(t, g, html.unescape(t)) for t, g in zip(texts, got) if g != html.unescape(t)]
+    assert not wrong, wrong[:5]

@@ -44,6 +44,12 @@ select site, url, cast(count(*) as bigint) as n_links, count(distinct dst) as n_
        cast(count(*) filter ({d.netloc('dst')} = site) as bigint) as n_same_site
 from given_links group by site, url"""
 
+# The references that the given pages have; what is decoded first is not decoded again.
+ORACLES["decoded_pages"] = """
+select url, cast(len(text) as bigint) as n_chars, md5(text) as digest
+from (select url, regexp_replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;?', '&', 'g') as text
+      from pages) p"""
+
 ORACLES["url_parts"] = f"""
 select url, {d.scheme('url')} as scheme, {SITE} as netloc, {d.path('url')} as path,
        {d.query('url')} as query, {d.fragment('url')} as fragment from pages"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.functions import paths, urls
+from pagework.functions import markup, paths, urls
 from pagework.functions.paths import FLAT, TREE
 from pagework.operators import (
     bundles,
@@ -111,6 +111,12 @@ def link_summary(spark, sf_dir):
     return links.link_summary(links.site_links(links.page_links(given_pages(spark, sf_dir))))
 
 
+def decoded_pages(spark, sf_dir):
+    text = markup.decode_references(F.col("html"))
+    pages = given_pages(spark, sf_dir).select("url", text.alias("text"))
+    return pages.select("url", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 # --- URL and path functions
 
 
@@ -589,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "link_extract": link_extract,
     "link_targets": link_targets,
     "link_summary": link_summary,
+    "decoded_pages": decoded_pages,
     "url_parts": url_parts,
     "url_resolve": url_resolve,
     "url_resolve_local": url_resolve_local,
