@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 # A key is hot if it has more rows than this ...
 HOT_ROWS = 1_000_000
@@ -14,8 +15,9 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
 SALTS = 4_096
 
-
-SPREAD = 64
+# Bytes that the rows of one key may have after a join before the key is split, and keys that are split.
+SPLIT_BYTES = 256 * 1024 * 1024
+SPLIT_KEYS = 10_000
 
 
 def hot_keys_of(rows: DataFrame, on: Sequence[str], hot_rows: int, hot_keys: int) -> DataFrame:
@@ -30,25 +32,50 @@ def hot_keys_of(rows: DataFrame, on: Sequence[str], hot_rows: int, hot_keys: int
     )
 
 
+def heavy_keys(
+    left: DataFrame, right: DataFrame, on: Sequence[str], split_bytes: int = SPLIT_BYTES, split_keys: int = SPLIT_KEYS
+) -> DataFrame:
+    """``(*on, _salts)``: the at most ``split_keys`` heaviest keys whose joined rows have more than ``split_bytes``
+    bytes of text, and into how many parts of about that size to split them.
+
+    The weight of a key is its rows on the left times the bytes of its rows on the right. Both are narrow sums;
+    of the texts only the lengths are read. A key cannot be split further than into its rows.
+    """
+    on = list(on)
+    texts = [f.name for f in right.schema.fields if isinstance(f.dataType, (StringType, BinaryType)) and f.name not in on]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(8).cast("long"))
+    uses = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_uses"))
+    sizes = right.select(*on, size.alias("_size")).groupBy(*on).agg(F.sum("_size").alias("_bytes"))
+    weight = F.col("_uses").cast("double") * F.col("_bytes")
+    salts = F.least(F.ceil(weight / F.lit(float(split_bytes))), F.col("_uses"))
+    return (
+        uses.join(sizes, on)
+        .withColumn("_weight", weight)
+        .filter(F.col("_weight") > split_bytes)
+        .orderBy(F.desc("_weight"))
+        .limit(split_keys)
+        .select(*on, salts.cast("int").alias("_salts"))
+    )
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
+    split_bytes: int = SPLIT_BYTES,
+    split_keys: int = SPLIT_KEYS,
 ) -> DataFrame:
     """Inner join for payloads too big to broadcast, such as the text of a style sheet that a third
-    of all sites use: rows of a hot key are spread over salts and meet a copy of its matches each.
-    Only the hot keys themselves are broadcast."""
+    of all sites use: the rows of a heavy key are spread over as many salts as its weight asks for and meet a copy
+    of its matches each. Only the heavy keys themselves are broadcast. Both sides are read once more for
+    the weights, so tables that are costly to make should be written first."""
     on = list(on)
-    hot = F.broadcast(hot_keys_of(left, on, hot_rows, hot_keys).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")
-    spread = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SPREAD - 1)).otherwise(F.lit(0)))
-    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(every))
-    return spread.drop("_hot").join(copied.drop("_hot"), [*on, "_salt"]).drop("_salt")
+    heavy = F.broadcast(heavy_keys(left, right, on, split_bytes, split_keys))
+    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    spread = left.join(heavy, on, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = right.join(heavy, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    return spread.join(copied, [*on, "_salt"]).drop("_salt")
 
 
 def lookup(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ class Assets:
 
     refs: DataFrame
     resources: DataFrame
-    matched: DataFrame
     bodies: DataFrame
+    scratch: Scratch
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        """The references with outcome and path. Made when it is asked for: many jobs need the catalogue only."""
+        return self.scratch.keep(resources.attach_resources(self.refs, self.resources), "matched")
 
 
 def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch: Scratch) -> Assets:
@@ -48,7 +54,7 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
     refs = scratch.keep(refs, "refs")
     firsts = scratch.keep(resources.first_seen(refs), "first_seen")
     sheets = firsts.filter(F.col("first.kind") == "css")
-    inner = resources.css_refs(resources.sheet_bodies(sheets, assets))
+    inner = scratch.keep(resources.css_refs(resources.sheet_bodies(sheets, assets)), "inner")
     children = scratch.keep(resources.css_child_refs(sheets, inner), "css_refs")
 
     again = firsts.select("site", "abs_url", "first", "n_refs")
@@ -61,10 +67,9 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
     catalogue = scratch.keep(
         resources.name_resources(every, assets, layout, scratch), "resources"
     )
-    matched = scratch.keep(resources.attach_resources(refs, catalogue), "matched")
 
     bundled = catalogue.filter(F.col("ok") & F.col("kind").isin("css", "js"))
-    content = resources.body_of(assets, bundled.select("url"))
+    content = scratch.keep(resources.body_of(assets, bundled.select("url")), "contents")
     with_text = salted_join(bundled, content, ["url"])
     inside = resources.attach_resources(
         children.select("site", "abs_url", "sheet_url", "css_pos"), catalogue
@@ -72,7 +77,7 @@ def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch:
     bodies = rewrite.rewrite_css(
         with_text.select("site", "url", "kind", "first", "local_path", "content"), inside
     )
-    return Assets(refs, catalogue, matched, bodies)
+    return Assets(refs, catalogue, bodies, scratch)
 
 
 def mirror_pages(

@@ -53,8 +53,30 @@ class Scratch:
         self.tables.append(table)
         return self.spark.table(table)
 
+    def bucketed(self, name: str) -> BucketedTable:
+        """A table in buckets that grows by what is appended to it."""
+        return BucketedTable(self, name)
+
     def drop(self) -> None:
         for table in self.tables:
             self.spark.sql(f"drop table if exists {table}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class BucketedTable:
+    """Rows in buckets of keys, appended part by part. A join on the keys moves the other side only, however
+    many parts there are."""
+
+    def __init__(self, scratch: Scratch, name: str):
+        self.spark, self.path = scratch.spark, scratch.place(name)
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"pagework_{uuid.uuid4().hex}"
+        scratch.tables.append(self.table)
+
+    def append(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Add the rows and return the whole table."""
+        writer = df.repartition(self.buckets, *keys).write.mode("append").bucketBy(self.buckets, *keys)
+        writer.sortBy(*keys).option("path", self.path).saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+        return self.spark.table(self.table)

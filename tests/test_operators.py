@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from pagework.operators import bundles, crawl, elements, linkfix, resources
-from pagework.operators.joins import lookup, salted_join
+from pagework.operators.joins import heavy_keys, lookup, salted_join
 from pagework.operators.ordering import running_total
 from pagework.sources.scratch import Scratch
 
@@ -21,6 +21,20 @@ def test_lookup_with_hot_keys_equals_a_left_join(spark):
         assert sorted((r.id, r.v) for r in got) == [(i, want.get((s, k))) for i, s, k in left]
 
 
+def test_keys_are_split_by_their_bytes(spark):
+    uses = [("often", i) for i in range(900)] + [("few", i) for i in range(3)] + [("once", 0), ("gone", 1)]
+    bodies = [("often", "x" * 300, 1), ("few", "y" * 50_000, 1), ("once", "z" * 90_000, None), ("unused", "u" * 10**6, 1), ("often", None, 2)]
+    a = spark.createDataFrame(uses, "url string, id int")
+    b = spark.createDataFrame(bodies, "url string, content string, n int")
+    assert dict(heavy_keys(a, b, ["url"], 100_000).collect()) == {"often": 3, "few": 2}
+    assert dict(heavy_keys(a, b, ["url"], 10_000).collect()) == {"often": 29, "few": 3, "once": 1}
+    assert dict(heavy_keys(a, b, ["url"], 10_000, 1).collect()) == {"often": 29}
+    joined = salted_join(a, b, ["url"], 10_000)
+    # The 900 uses of one body leave by many keys of the shuffle.
+    salts = joined.filter("url = 'often'").count()
+    assert salts == 1800 and joined.count() == 1800 + 3 + 1
+
+
 def test_salted_join_equals_an_inner_join(spark):
     random.seed(4)
     left = [(i, random.choice(["hot"] * 5 + ["gone"] + [f"k{j}" for j in range(5)])) for i in range(400)]
@@ -28,8 +42,8 @@ def test_salted_join_equals_an_inner_join(spark):
     a = spark.createDataFrame(left, "id long, url string")
     b = spark.createDataFrame(right, "url string, v long")
     want = sorted((i, v) for i, k in left for u, v in right if u == k)
-    for hot_rows, hot_keys in ((10, 1000), (10, 1), (10**6, 1000)):
-        assert sorted((r.id, r.v) for r in salted_join(a, b, ["url"], hot_rows, hot_keys).collect()) == want
+    for split_bytes, split_keys in ((10, 1000), (10, 1), (1, 1000), (10**9, 1000)):
+        assert sorted((r.id, r.v) for r in salted_join(a, b, ["url"], split_bytes, split_keys).collect()) == want
 
 
 def test_running_total_over_slices_equals_brute_force(spark):
@@ -176,3 +190,18 @@ def test_crawl_equals_a_queue(spark):
     for limit in (None, 1, 5):
         got = crawl.crawl(pages, seeds, Scratch(spark), limit)
         assert {(r.url, r.depth, r.fetched) for r in got.collect()} == expected(limit)
+
+
+def test_visited_pages_stay_where_they_lie(spark):
+    scratch = Scratch(spark)
+    seen = scratch.bucketed("seen")
+    for depth in range(3):
+        rows = [(f"s{i % 3}", f"u{depth * 40 + i}", depth) for i in range(40)]
+        visited = seen.append(spark.createDataFrame(rows, "site string, url string, depth int"), ["site", "url"])
+    assert visited.count() == 120 and visited.filter("depth = 1").count() == 40
+    reached = spark.createDataFrame([("s0", "u0"), ("s0", "u0"), ("s2", "u100"), ("s1", "new"), ("s2", "u0")], "site string, url string").distinct()
+    left = crawl.unvisited(reached, visited)
+    assert sorted(left.collect()) == [("s1", "new"), ("s2", "u0")]
+    plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    scratch.drop()
