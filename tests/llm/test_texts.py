@@ -176,6 +176,32 @@ def test_windows_overlap_and_cover():
     assert {b for f, s, o in zip(first, sizes, owner) if o == 4 for b in range(f - begin, f - begin + s)} == set(range(100))
 
 
+def test_long_clean_texts_stay_clean(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = table.join(labels, "doc_id").withColumn("held", crc_remainder(F.col("doc_id"), 3) == 1)
+    net = fit_toxicity(known.filter("not held"), labels)
+    held = known.filter("held").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
+    scorer = toxicity._Scorer(net)
+    score = scorer([(r.text or "").encode() for r in held])
+    toxic = np.array([r.toxic == 1 for r in held])
+    assert (score[toxic] >= 0.7).mean() >= 0.75 and (score[~toxic] >= 0.7).mean() < 0.01
+    clean = [r.text or "" for r, s, t in zip(held, score, toxic) if not t]
+    joined, size = [], 0
+    for text in clean * 8:
+        if not joined or size >= 1_000_000:
+            joined.append([])
+            size = 0
+        joined[-1].append(text)
+        size += len(text)
+    long = scorer(["\n".join(j).encode() for j in joined[:6]])
+    assert (long < 0.7).all(), long
+    # One strong window is found however long the text is.
+    worst = max((s, r.text) for r, s, t in zip(held, score, toxic) if t)[1]
+    assert scorer(["\n".join([*joined[0], worst, *joined[1]]).encode()])[0] >= 0.7
+
+
 def test_toxicity_finds_marked_texts(spark, docs):
     rng = np.random.default_rng(5)
     plain = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(200)]
