@@ -78,7 +78,7 @@ UNSAFE_IN_FLAT_NAMES = r"[^a-zA-Z0-9_-]"
 
 
 def clean_name(name: Column) -> Column:
-    """Take one version hash off the end of the stem: ``logo_3154c924.png`` is ``logo.png``."""
+    """Take one version hash off the end of the stem: ``seal_0badcafe.png`` is ``seal.png``."""
     return F.concat(F.regexp_replace(stem_of(name), VERSION_HASH, ""), suffix_of(name))
 
 

@@ -91,7 +91,11 @@ def mirror_pages(
 
     ``asked(site, ok)`` has the pages that were asked for, failed ones too, for the totals; without it
     the given pages count."""
-    found = collect_assets(elements.page_refs(pages), assets, FLAT, scratch)
+    order = number_rows(pages.select("site", "url", "page_order"), ["page_order", "url", "site"], scratch)
+    order = scratch.keep(order, "order")
+    # Slices of the order hold about as many pages each only if its numbers are dense.
+    refs = elements.page_refs(pages).join(order, ["site", "url", "page_order"]).drop("page_order")
+    found = collect_assets(refs.withColumnRenamed("number", "page_order"), assets, FLAT, scratch)
     edits = rewrite.asset_edits(found.matched, FLAT, consolidate)
     names = flat_names(pages)
     html = rewrite.apply_edits(pages, edits)
@@ -127,8 +131,10 @@ def mirror_saved(
     scratch: Scratch,
     base_url: str | None = None,
     consolidate: bool = True,
+    asked: DataFrame | None = None,
 ) -> Mirror:
-    """J2: pages read from disk ``(site, path, html)``; the base is given or found in the page.
+    """J2: pages read from disk ``(site, path, html)``; the base is given or found in the page. ``asked(site, ok)``
+    has the files that were to be read, also those that could not be, for the totals.
 
     Pages count in the order of their paths, so the result does not depend on how files are dealt."""
     order = scratch.keep(number_rows(files.select("site", "path"), ["path", "site"], scratch), "order")
@@ -143,7 +149,7 @@ def mirror_saved(
     found = collect_assets(refs, assets, FLAT, scratch)
     edits = rewrite.asset_edits(found.matched, FLAT, consolidate)
     copies = rewrite.apply_edits(pages, edits).select("site", F.col("url").alias("path"), "html")
-    return _result(copies, pages, found, consolidate)
+    return _result(copies, pages, found, consolidate, asked)
 
 
 def mirror_languages(
@@ -157,7 +163,7 @@ def mirror_languages(
     """J1: the page of each ``seeds(site, base_url)`` in several languages.
 
     The first language is copied with its assets. The others share its bundles, and their images stay
-    where they are.
+    where they are. The totals count a page of each language as asked for.
     """
     wanted = variants.language_pages(pages, seeds, languages).withColumnRenamed("base_url", "base")
     wanted = scratch.keep(wanted, "language_pages")
@@ -174,7 +180,10 @@ def mirror_languages(
         edits = _latest(edits, variants.selector_edits(wanted, languages))
         html = variants.add_switcher(html, languages)
     done = rewrite.apply_edits(wanted, edits).withColumn("html", html)
-    return _result(variants.language_files(done), wanted, found, consolidate)
+    targets = variants.language_targets(seeds, languages).select("site", "url")
+    there = wanted.select("site", "url", F.lit(True).alias("_there"))
+    asked = targets.join(there, ["site", "url"], "left").select("site", F.coalesce("_there", F.lit(False)).alias("ok"))
+    return _result(variants.language_files(done), wanted, found, consolidate, asked)
 
 
 def _latest(edits: DataFrame, later: DataFrame) -> DataFrame:

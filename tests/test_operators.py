@@ -205,3 +205,19 @@ def test_visited_pages_stay_where_they_lie(spark):
     plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     scratch.drop()
+
+
+def test_a_limit_is_cut_by_ranges(spark):
+    rng = random.Random(3)
+    rows = [("big", f"u{rng.randrange(10**6):06d}") for _ in range(3000)] + [(f"s{i % 7}", f"v{i}") for i in range(50)]
+    rows = sorted(set(rows))
+    taken = [("big", "x0"), ("big", "x1"), ("s1", "x"), *(("s2", f"x{i}") for i in range(9))]
+    reached = spark.createDataFrame(rows, "site string, url string").repartition(6)
+    visited = spark.createDataFrame(taken, "site string, url string")
+    for limit in (0, 1, 5, 9, 1200, 10**6):
+        got = sorted(tuple(r) for r in crawl.within_limit(reached, visited, limit, Scratch(spark)).collect())
+        want = []
+        for site in {s for s, _ in rows}:
+            left = max(0, limit - sum(s == site for s, _ in taken))
+            want += sorted(r for r in rows if r[0] == site)[:left]
+        assert got == sorted(want), limit

@@ -662,12 +662,10 @@ LANGUAGE_REFS = [
 
 # What the copies of a page in several languages hold at the end of their body.
 SCRIPT = (
+    """<style>#language_selector_trigger{cursor:pointer}</style>"""
     """<script>(function(){var known=["en", "fr", "de"];document.addEventListener('click',function(e){"""
     """var item=e.target.closest('.language_selector');if(!item)return;var lang=item.getAttribute('data-language');"""
-    """if(known.indexOf(lang)>=0){e.preventDefault();location.href='index-'+lang+'.html';}});"""
-    """document.addEventListener('DOMContentLoaded',function(){"""
-    """var opener=document.getElementById('language_selector_trigger');"""
-    """if(opener)opener.style.cursor='pointer';});})();</script>"""
+    """if(known.indexOf(lang)>=0){e.preventDefault();location.href='index-'+lang+'.html';}});})();</script>"""
 )
 
 
@@ -776,3 +774,42 @@ ORACLES["restore_pages"] = f"""{FIXED}
 select f.site, f.path, s.html, f.links > 0 as restored from fixed f join saved s on s.site = f.site and s.path = f.path"""
 # A file that both repairs change comes back as it was before the first.
 ORACLES["restore_generations"] = ORACLES["restore_pages"]
+
+# --- totals of the jobs
+
+RESOURCE_TOTALS = """(select site, count(*) as attempted, count(*) filter (ok) as succeeded,
+                  count(*) filter (ok and folder = 'css') as css_files, count(*) filter (ok and folder = 'js') as js_files,
+                  count(*) filter (ok and folder = 'images') as images_files,
+                  count(*) filter (ok and folder = 'fonts') as fonts_files,
+                  count(*) filter (ok and folder = 'other') as other_files from named group by site)"""
+ORACLES["totals_of_list"] = ORACLES["run_totals"]
+ORACLES["totals_of_saved"] = _fx(
+    FX_ALL + ["fx_pages"],
+    f"""select p.site, p.pages_asked, p.pages_done, r.* exclude (site) from
+       (select site, count(*) as pages_asked, count(*) filter (status < 400) as pages_done from fx_pages group by site) p
+       full join {RESOURCE_TOTALS} r on r.site = p.site""",
+    catalogue(refs=SAVED_REFS),
+)
+ORACLES["totals_of_languages"] = _fx(
+    [*FX_ALL, "fx_pages"],
+    """select site, cast(sum(a) as bigint) as pages_asked, cast(sum(b) as bigint) as pages_done,
+              cast(sum(c) as bigint) as attempted, cast(sum(e) as bigint) as succeeded
+       from (select site, 3 as a, 0 as b, 0 as c, 0 as e from fx_pages
+             union all select regexp_extract(site, '^p[0-9]+\\.(.*)$', 1), 0, 1, 0, 0 from language_pages
+             union all select regexp_extract(site, '^p[0-9]+\\.(.*)$', 1), 0, 0, 1, case when ok then 1 else 0 end from named) t
+       group by site""",
+    [*LANGUAGE_BASE, *catalogue(refs=LANGUAGE_REFS)],
+)
+ORACLES["totals_of_crawl"] = _recursive(
+    FX_CRAWL,
+    "select site, count(*) as pages_asked, count(*) filter (fetched) as pages_done from visited group by site",
+    walk(),
+)
+ORACLES["sitemap_lines"] = _recursive(
+    FX_CRAWL,
+    f"""select '<li><a href="' || {d.tree_path('v.url')} || '">'
+         || case when replace(v.url, s.url, '') = '' then '/ (Home)' else replace(v.url, s.url, '') end
+         || '</a> <span>' || v.url || '</span></li>' as line
+        from visited v join starts s on s.site = v.site where v.fetched""",
+    walk(),
+)

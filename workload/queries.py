@@ -31,6 +31,7 @@ from pagework.session import tune
 from pagework.sources.backups import BackupStore
 from pagework.sources.scan import decode_text, scan_pages
 from pagework.sources.scratch import Scratch
+from pagework.sources.sinks import write_sitemap
 from pagework.sources.site_files import read_files, save_files
 from workload.views import with_views
 
@@ -531,6 +532,39 @@ def mirror_in_languages(spark, sf_dir):
     return done.files
 
 
+def totals_of_languages(spark, sf_dir):
+    """Of every page three languages are asked for; pages that failed are there in none of them."""
+    seeds_ = view(spark, sf_dir, "fx_pages")
+    seeds_ = seeds_.select(page_site(F.col("page_id"), F.col("site")).alias("site"), F.col("url").alias("base_url"))
+    done = mirror_languages(_own_sites(spark, sf_dir), seeds_, assets(spark, sf_dir), LANGUAGES, Scratch(spark))
+    site = F.regexp_extract("site", r"^p\d+\.(.*)$", 1)
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("pages_asked", "pages_done", "attempted", "succeeded")]
+    return done.totals.groupBy(site.alias("site")).agg(*sums)
+
+
+def totals_of_list(spark, sf_dir):
+    asked = view(spark, sf_dir, "fx_pages").select("site", (F.col("status") < 400).alias("ok"))
+    return mirror_pages(made_site_pages(spark, sf_dir), assets(spark, sf_dir), Scratch(spark), asked=asked).totals
+
+
+def totals_of_saved(spark, sf_dir):
+    asked = view(spark, sf_dir, "fx_pages").select("site", (F.col("status") < 400).alias("ok"))
+    files, scratch = _saved_files(spark, sf_dir), Scratch(spark)
+    return mirror_saved(files, assets(spark, sf_dir), scratch, base_url="https://home.example/x/page.html", asked=asked).totals
+
+
+def totals_of_crawl(spark, sf_dir):
+    totals = _copied(spark, sf_dir).totals
+    return totals.select("site", "pages_asked", "pages_done")
+
+
+def sitemap_lines(spark, sf_dir):
+    """The site map as a file of lines, read again."""
+    path = Scratch(spark).place("sitemap")
+    write_sitemap(site_map(spark, sf_dir), path, lines=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 # --- repair
 
 
@@ -626,6 +660,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fix_report": fix_report,
     "restore_pages": restore_pages,
     "restore_generations": restore_generations,
+    "totals_of_languages": totals_of_languages,
+    "totals_of_list": totals_of_list,
+    "totals_of_saved": totals_of_saved,
+    "totals_of_crawl": totals_of_crawl,
+    "sitemap_lines": sitemap_lines,
     "css_bundle": css_bundle,
     "bundle_text": bundle_text,
     "first_of_kind": first_of_kind,
