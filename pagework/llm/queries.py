@@ -176,4 +176,43 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
-CORPUS_ORACLES: dict[str, str] = {}
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Expected rows of op13: every part is compared with every entry."""
+    gap = "list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    odd = "list_filter(embedding, lambda x: x is null or not isfinite(x))"
+    steps = [
+        "kept as (select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label, "
+        "list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v "
+        f"from embeddings where embedding is not null and len({odd}) = 0)",
+        "parts as materialized (select r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] as part "
+        "from kept cross join (select unnest(range(4)) as p) q)",
+        "books0 as materialized (select p, r as e, part as entry from parts where r < 256)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"near{k} as materialized (select r, t.p as p, any_value(part) as part, "
+            f"min({{'d': cast({gap} as bigint), 'e': e}}) as m from parts t join books{k} b on b.p = t.p group by r, t.p)"
+        )
+        if k < rounds:
+            steps.append(
+                f"means{k} as (select p, e, list(x order by i) as entry from (select p, e, i, cast(floor(cast(sum(x) as double) / count(*)) as bigint) as x "
+                f"from (select p, m.e as e, unnest(range(len(part))) as i, unnest(part) as x from near{k}) u group by p, e, i) w group by p, e)"
+            )
+            steps.append(
+                f"books{k + 1} as materialized (select b.p, b.e, coalesce(n.entry, b.entry) as entry "
+                f"from books{k} b left join means{k} n on n.p = b.p and n.e = b.e)"
+            )
+    steps += [
+        f"coded as (select r, string_agg(printf('%02x', m.e), '' order by p) as code, cast(sum(m.d) as bigint) as error from near{rounds} group by r)",
+        f"digest as (select sha256(string_agg(array_to_string(entry, ','), ',' order by p, e)) as s from books{rounds})",
+    ]
+    return (
+        "with " + ",\n".join(steps) + "\nselect vec_id, code, error, "
+        "cast(sum(error) over (partition by label) as bigint) as label_error, s as codebooks_sha256 "
+        "from kept join coded on coded.r = kept.r cross join digest"
+    )
+
+
+CORPUS_ORACLES: dict[str, str] = {"op13_vector_codes": vector_codes_sql()}
