@@ -1,10 +1,11 @@
-"""Writing pages, bundles and site maps."""
+"""Writing pages, bundles, backups and site maps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagework.operators.linkfix import backups_of
 from pagework.operators.sitemap import sitemap_lines
 from pagework.sources.site_files import save_files
 
@@ -39,6 +40,21 @@ def write_bundles(chunks: DataFrame, path: str) -> None:
     )
 
 
+def write_backups(files: DataFrame, fixes: DataFrame, path: str, earlier: str | None = None) -> None:
+    """The original text of the files that ``fixes`` changes, before they are overwritten, as one table.
+
+    ``earlier`` is the folder of the last run's backups. They go along into the new folder, which must
+    be another one; of a file that both runs change the new backup counts. ``BackupStore`` keeps the texts of
+    all runs by itself.
+    """
+    made = backups_of(files, fixes)
+    if earlier is not None:
+        old = files.sparkSession.read.parquet(earlier)
+        changed = fixes.select("site", "path").distinct()
+        made = made.unionByName(old.join(changed, ["site", "path"], "left_anti"))
+    made.write.mode("overwrite").parquet(path)
+
+
 def write_sitemap(rows: DataFrame, path: str, lines: bool = False) -> None:
     """Site map rows as Parquet, or as lines of text; both keep the order of the rows."""
     if lines:
