@@ -508,6 +508,22 @@ ORACLES["saved_copy_references"] = _fx(
     "select site, cast(sum(n_refs) as bigint) as n_refs, cast(0 as bigint) as n_missing from copied_pages group by site",
     GIVEN_ASSETS,
 )
+# Every page is reached, so a copy has one file for each normal URL and the assets of the pages that count.
+ORACLES["saved_crawl"] = _fx(
+    ["fx_given_firsts", "fx_given_assets"],
+    """
+select p.site, p.n_pages, 1 + case when c.n is null then 0 else 1 end as n_bundles, coalesce(c.n, 0) as n_css, p.n_js,
+       coalesce(i.n, 0) as n_images, p.n_refs, cast(0 as bigint) as n_missing
+from (select f.site, count(*) as n_pages, count(distinct f.page_id % 5) as n_js,
+             cast(sum(1 + case when f.page_id % 7 = 6 then 0 else 1 end + case when f.page_id % 11 % 4 = 3 then 0 else 1 end) as bigint) as n_refs
+      from fx_given_firsts f group by f.site) p
+left join (select site, count(*) as n from used_sheets group by site) c on c.site = p.site
+left join (select site, count(*) as n from used_pictures where n % 4 <> 3 group by site) i on i.site = p.site""",
+    [
+        ("used_sheets", "select distinct site, page_id % 7 as n from fx_given_firsts where page_id % 7 <> 6"),
+        ("used_pictures", "select site, page_id % 11 as n from fx_given_firsts union select site, n + 3 from used_sheets"),
+    ],
+)
 _TREE = d.tree_path("url")
 ORACLES["page_export"] = f"""
 select distinct site, case k when 1 then '../' || place when 2 then repeat('x', 300) || place when 3 then null else page_id || '/' || place end as path,

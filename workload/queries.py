@@ -434,9 +434,7 @@ def crawl_copy_all(spark, sf_dir):
 def _saved_copy(spark, sf_dir):
     """A copy of the given pages with elements, written as files: the folder it is in."""
     rows = view(spark, sf_dir, "fx_given", "select page_id, url, concat(css_tag, js_tag, img_tag, html) as html from {}")
-    kept = view(spark, sf_dir, "fx_given_assets")
-    body = F.when(F.col("kind") == "image", F.unhex(F.md5("url"))).otherwise(F.col("content").cast("binary"))
-    kept = kept.select("url", "status", body.alias("content"))
+    kept = _given_assets(spark, sf_dir)
     scratch = Scratch(spark)
     copy = mirror_pages(scan_pages(rows), kept, scratch)
     root = scratch.place("copy")
@@ -454,6 +452,34 @@ def saved_copy_references(spark, sf_dir):
     return saved_references(files)
 
 
+def _given_assets(spark, sf_dir):
+    kept = view(spark, sf_dir, "fx_given_assets")
+    body = F.when(F.col("kind") == "image", F.unhex(F.md5("url"))).otherwise(F.col("content").cast("binary"))
+    return kept.select("url", "status", body.alias("content"))
+
+
+def saved_crawl(spark, sf_dir):
+    """Sites walked from their first page, copied with their assets, and written as files: what is there of each
+    kind, and the references that lead to no file."""
+    scratch = Scratch(spark)
+    html = "concat(css_tag, js_tag, img_tag, child_tags, html) as html"
+    pages = scratch.keep(scan_pages(view(spark, sf_dir, "fx_given_tree", f"select page_id, url, {html} from {{}}")), "pages")
+    starts = view(spark, sf_dir, "fx_given_firsts", "select site, normal as base_url from {} where k = 0")
+    kept = _given_assets(spark, sf_dir)
+    copy = copy_sites(pages, starts, kept, scratch)
+    root = scratch.place("copy")
+    save_copy(copy, kept, root, TREE, scratch)
+    files = scratch.keep(read_files(spark, root), "files")
+    inside = F.regexp_extract("path", "^assets/([a-z]+)/", 1)
+    bundle = F.col("path").isin(TREE.css_bundle, TREE.js_bundle)
+    counts = files.groupBy("site").agg(
+        F.count_if(inside == "").alias("n_pages"),
+        F.count_if(bundle).alias("n_bundles"),
+        *(F.count_if((inside == kind) & ~bundle).alias(f"n_{kind}") for kind in ("css", "js", "images")),
+    )
+    return counts.join(saved_references(files), "site")
+
+
 def page_export(spark, sf_dir):
     """The given pages as files, some of them under paths that cannot be: what is found again, and what was refused."""
     path, id_ = paths.page_path_tree(F.col("url")), F.col("page_order")
@@ -680,6 +706,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_totals": run_totals,
     "saved_copy": saved_copy,
     "saved_copy_references": saved_copy_references,
+    "saved_crawl": saved_crawl,
     "page_export": page_export,
     "lang_fanout": lang_fanout,
     "lang_selector": lang_selector,

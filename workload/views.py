@@ -170,6 +170,30 @@ select 'cdn.example' as site, 'js' as kind, n, 'https://cdn.example/js/' || cast
 from (select distinct page_id % 5 as n from fx_given) j""",
 )
 
+# The given pages by their normal URL, numbered in their site, and linked as a binary tree from the first one.
+_view(
+    "fx_given_firsts",
+    ["fx_given"],
+    """
+select site, normal, page_id, row_number() over (partition by site order by page_id) - 1 as k
+from (select site, normal, min(page_id) as page_id
+      from (select site, page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') as normal from fx_given) a
+      group by site, normal) b""",
+)
+
+_view(
+    "fx_given_tree",
+    ["fx_given_firsts"],
+    """
+select f.site, f.url, f.page_id, f.css_tag, f.js_tag, f.img_tag, f.html,
+       coalesce('<a href="' || replace(a.normal, '&', '&amp;') || '">a</a>', '')
+         || coalesce('<a href="' || replace(b.normal, '&', '&amp;') || '#b">b</a>', '') as child_tags
+from (select *, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') as normal from fx_given) f
+join fx_given_firsts g on g.site = f.site and g.normal = f.normal
+left join fx_given_firsts a on a.site = g.site and a.k = 2 * g.k + 1
+left join fx_given_firsts b on b.site = g.site and b.k = 2 * g.k + 2""",
+)
+
 
 def _ordered(names: list[str]) -> list[str]:
     done: list[str] = []
