@@ -15,30 +15,37 @@ from pagework.sources.scratch import Scratch
 from pagework.sources.site_files import save_files
 
 
-def asset_files(catalogue: DataFrame, bodies: DataFrame, assets: DataFrame) -> DataFrame:
-    """``(site, path, body)`` of all fetched assets of the ``catalogue``: style sheets with local addresses from
-    ``bodies``, everything else byte for byte from ``assets(url, status, content)``. A body that a third of all
-    sites use is spread over the tasks."""
-    sheets = bodies.filter("kind = 'css'").select(
+def sheet_files(bodies: DataFrame) -> DataFrame:
+    """``(site, path, body)`` of style sheets with local addresses."""
+    return bodies.filter("kind = 'css'").select(
         "site", F.col("local_path").alias("path"), F.col("content").cast("binary").alias("body")
     )
+
+
+def asset_files(catalogue: DataFrame, assets: DataFrame) -> DataFrame:
+    """``(site, path, body)`` of all other fetched assets of the ``catalogue``, byte for byte from ``assets(url,
+    status, content)``. A body that a third of all sites use is spread over the tasks."""
     others = catalogue.filter(F.col("ok") & (F.col("kind") != "css")).select("site", "url", "local_path")
     content = resources.body_of(assets, others.select("url"))
-    raw = salted_join(others, content, ["url"]).select(
+    return salted_join(others, content, ["url"]).select(
         "site", F.col("local_path").alias("path"), F.col("content").cast("binary").alias("body")
     )
-    return sheets.unionByName(raw)
 
 
 def save_copy(
     copy: Mirror | SiteCopy, assets: DataFrame, root: str, layout: Layout, scratch: Scratch, consolidate: bool = True
 ) -> DataFrame:
     """Write a copy below ``root``, a folder for each site, and return the files that were refused as
-    ``(site, path, reason)``."""
+    ``(site, path, reason)``. Bodies of sheets and scripts are written once, because they are saved alone and in
+    their bundle; everything else goes to its place from where it is made."""
+    bodies = scratch.keep(copy.bodies, "bodies")
     pages = copy.files.select("site", "path", F.col("html").cast("binary").alias("body"))
-    refused = save_files(pages.unionByName(asset_files(copy.resources, copy.bodies, assets)), root)
+    refused = save_files(pages, root)
+    refused = refused.unionByName(save_files(sheet_files(bodies), root))
+    refused = refused.unionByName(save_files(asset_files(copy.resources, assets), root))
     if consolidate:
-        refused = refused.unionByName(save_files(bundles.bundle_pieces(copy.chunks, layout, scratch), root))
+        chunks = bundles.bundle_chunks(bodies, copy.resources)
+        refused = refused.unionByName(save_files(bundles.bundle_pieces(chunks, layout, scratch), root))
     return refused
 
 
