@@ -34,6 +34,14 @@ def texts(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return docs.select(*columns, F.col(text).cast("binary").alias("body"))
 
 
+def free_name(names: Iterable[str], wanted: str = "body") -> str:
+    """A name for the text that none of the given columns has, whatever the case of their letters."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def crc_remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo ``divisor``; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor

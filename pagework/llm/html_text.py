@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, map_texts
+from pagework.llm.common import bodies, free_name, map_texts
 
 #: Spread of the smoothing in lines, and the threshold as a share of the ratios' standard deviation.
 SIGMA, THRESHOLD = 1.0, 0.9
@@ -198,14 +198,15 @@ def extract_text(pages: DataFrame, *columns: str | Column, html: str = "html") -
     """
     kept = pages.select(*columns)
     names = kept.columns
+    raw = free_name(names)
 
     def extract(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [main_text(b.decode("utf-8", "replace")) for b in bodies(part)]
+        found = [main_text(b.decode("utf-8", "replace")) for b in bodies(part, raw)]
         return pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in names), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
             [*names, "text", "n_chars"],
         )
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = pages.select(*columns, F.col(html).cast("binary").alias("body"))
-    return map_texts(rows, extract, fields + "text string, n_chars long")
+    rows = pages.select(*columns, F.col(html).cast("binary").alias(raw))
+    return map_texts(rows, extract, fields + "text string, n_chars long", column=raw)

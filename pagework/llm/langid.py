@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import MEMO_WORDS, Memo, bodies, map_texts, slices, texts
+from pagework.llm.common import MEMO_WORDS, Memo, bodies, free_name, map_texts, slices, texts
 from pagework.llm.words import Letters, WordTable
 
 BUCKETS = 1 << 14
@@ -163,18 +163,19 @@ def predict_language(
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*columns)
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
     names = kept.columns
+    raw = free_name(names)
+    rows = docs.select(*columns, F.col(text).cast("binary").alias(raw))
     state: list[_Scorer] = []
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
             state.append(_Scorer(held.value))
-        langs, sure = state[0](bodies(part))
+        langs, sure = state[0](bodies(part, raw))
         return pa.RecordBatch.from_arrays(
             [*(part.column(c) for c in names), pa.array(langs, pa.string()), pa.array(sure)],
             [*names, "lang_pred", "score"],
         )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_texts(rows, score, f"{fields}, lang_pred string, score double")
+    return map_texts(rows, score, f"{fields}, lang_pred string, score double", column=raw)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, map_texts
+from pagework.llm.common import bodies, free_name, map_texts
 from pagework.llm.piece_model import BPE, CONTROL, NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceModel, read_model
 from pagework.llm.ragged import RaggedTable
 
@@ -138,10 +138,11 @@ def encode_pieces(
     decoding them gives. Null text counts as empty and has no ids; repeated rows are encoded one each."""
     kept = docs.select(*columns)
     names = kept.columns
+    raw = free_name(names)
 
     def encode(part: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(model_path, verify)
-        flat, counts = own.encode(bodies(part))
+        flat, counts = own.encode(bodies(part, raw))
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
         back = own.decode([flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])])
@@ -150,10 +151,10 @@ def encode_pieces(
         )
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
+    rows = docs.select(*columns, F.col(text).cast("binary").alias(raw))
     # Other work may follow in the same process, so a task leaves its runs behind.
     done = lambda: codec(model_path, verify).table.reset()
-    return map_texts(rows, encode, fields + "ids array<int>, text_back string", done=done)
+    return map_texts(rows, encode, fields + "ids array<int>, text_back string", done=done, column=raw)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, *columns: str | Column, ids: str = "ids") -> DataFrame:

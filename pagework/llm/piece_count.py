@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, map_texts
+from pagework.llm.common import bodies, free_name, map_texts
 from pagework.llm.piece_model import SPACE, PieceModel, read_model
 from pagework.llm.ragged import RaggedTable
 
@@ -124,11 +124,12 @@ def count_pieces(docs: DataFrame, model_path: str, *columns: str | Column, text:
     counted one each."""
     kept = docs.select(*columns)
     names = kept.columns
+    raw = free_name(names)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        n = counter(model_path).count(bodies(part))
+        n = counter(model_path).count(bodies(part, raw))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64())], [*names, "n_pieces"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
-    return map_texts(rows, count, fields + "n_pieces long")
+    rows = docs.select(*columns, F.col(text).cast("binary").alias(raw))
+    return map_texts(rows, count, fields + "n_pieces long", column=raw)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, map_texts
+from pagework.llm.common import bodies, free_name, map_texts
 from pagework.sources.scratch import Scratch
 
 SYMBOLS = b"#*$%&|<>"
@@ -75,15 +75,16 @@ def text_counts(docs: DataFrame, *columns: str | Column, text: str = "text") ->
     """The given columns with COUNTS. Null text has no words; repeated rows count one each."""
     kept = docs.select(*columns)
     names = kept.columns
+    raw = free_name(names)
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [count_text(b) for b in bodies(part)]
+        rows = [count_text(b) for b in bodies(part, raw)]
         made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], [*names, *COUNTS])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = docs.select(*columns, F.col(text).cast("binary").alias("body"))
-    return map_texts(rows, count, fields + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select(*columns, F.col(text).cast("binary").alias(raw))
+    return map_texts(rows, count, fields + ", ".join(f"{c} long" for c in COUNTS), column=raw)
 
 
 def base_failed() -> Column:

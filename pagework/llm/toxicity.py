@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import bodies, map_texts
+from pagework.llm.common import bodies, free_name, map_texts
 from pagework.llm.words import Letters, WordTable
 
 WINDOW, STRIDE = 24, 16
@@ -284,14 +284,15 @@ def score_toxicity(
     held = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.select(*columns)
     names = kept.columns
+    raw = free_name(names)
     state: list[_Scorer] = []
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
             state.append(_Scorer(held.value))
-        scores = state[0](bodies(part, given or "body"))
+        scores = state[0](bodies(part, given or raw))
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(scores)], [*names, "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    rows = kept if given else docs.select(*columns, F.col(text).cast("binary").alias("body"))
-    return map_texts(rows, score, f"{fields}score double", column=given or "body")
+    rows = kept if given else docs.select(*columns, F.col(text).cast("binary").alias(raw))
+    return map_texts(rows, score, f"{fields}score double", column=given or raw)

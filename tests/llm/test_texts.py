@@ -15,7 +15,7 @@ from pagework.llm.langid import fit_language_model, predict_language
 from pagework.llm.piece_codec import PieceCodec, decode_pieces, encode_pieces
 from pagework.llm.piece_count import PieceCounter, count_pieces
 from pagework.llm.piece_model import PieceModel, read_model
-from pagework.llm.quality import COUNTS, chi_square_quantile, count_text, judge_quality
+from pagework.llm.quality import COUNTS, chi_square_quantile, count_text, judge_quality, text_counts
 from pagework.llm.queries import PIECE_MODEL, WORD_TOKENIZER, tokenizer_path
 from pagework.llm.token_files import WordEncoder, read_token_files, write_token_files
 from pagework.llm.toxicity import fit, fit_toxicity, score_toxicity
@@ -285,3 +285,17 @@ def test_quality_rejects_junk(spark, docs):
     assert len(out) == len(ROWS) and all(r.base_failed and not r.kept for r in out if r.n_words < 10)
     assert judge_quality(odd.limit(0), Scratch(spark), "doc_id").columns[:1] == ["doc_id"]
     assert len(COUNTS) == 8 and chi_square_quantile(7, 0.95) == pytest.approx(14.07, abs=0.05)
+
+
+def test_kept_columns_may_be_called_like_the_text_inside(docs):
+    other = docs.select("doc_id", "text", F.col("score").alias("body"), F.lit(1).alias("_body"))
+    path, keep = tokenizer_path(PIECE_MODEL), ("doc_id", "body", "_body")
+    model = fit_language_model(docs.select("doc_id", "text", F.lit("en").alias("lang")))
+    made = [
+        encode_pieces(other, path, *keep), count_pieces(other, path, *keep), extract_text(other, *keep, html="text"),
+        predict_language(other, model, *keep), score_toxicity(other, toxicity.Network(constant=0.5), *keep),
+        text_counts(other, *keep),
+    ]
+    for out in made:
+        got = out.select(*keep).collect()
+        assert sorted(map(str, got)) == sorted(map(str, other.select(*keep).collect()))
