@@ -643,8 +643,7 @@ def restore_generations(spark, sf_dir):
     first = repair_sites(saved_site(spark, sf_dir), scratch, use_local_fallback=True, store=store)
     once = scratch.keep(first.files, "repaired")
     second = repair_sites(once, scratch, replacement_url=REPLACEMENT, store=store)
-    twice = scratch.keep(second.files, "repaired")
-    back = scratch.keep(store.restore(twice), "restored")
+    back = scratch.keep(store.restore(second.files), "restored")
     store.clear()
     return back
 
