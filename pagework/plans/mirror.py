@@ -45,14 +45,23 @@ class Assets:
         return self.scratch.keep(resources.attach_resources(self.refs, self.resources), "matched")
 
 
-def collect_assets(refs: DataFrame, assets: DataFrame, layout: Layout, scratch: Scratch) -> Assets:
+def collect_assets(
+    refs: DataFrame, assets: DataFrame, layout: Layout, scratch: Scratch, dense: bool = True
+) -> Assets:
     """Catalogue the assets behind the references, look into style sheets, choose all paths.
 
-    Page text is read once, to make ``refs``; from there on only references move.
+    Page text is read once, to make ``refs``; from there on only references move. If the numbers of
+    ``page_order`` may lie far apart (``dense`` is false), the pages are numbered anew in the same order, because
+    slices of the order should hold about as many pages each.
     """
     assets = resources.text_assets(assets)
     refs = scratch.keep(refs, "refs")
-    firsts = scratch.keep(resources.first_seen(refs), "first_seen")
+    ordered = refs
+    if not dense:
+        pages = refs.select("site", "url", "page_order").distinct()
+        order = scratch.keep(number_rows(pages, ["page_order", "url", "site"], scratch), "order")
+        ordered = refs.join(order, ["site", "url", "page_order"]).withColumn("page_order", F.col("number")).drop("number")
+    firsts = scratch.keep(resources.first_seen(ordered), "first_seen")
     sheets = firsts.filter(F.col("first.kind") == "css")
     inner = scratch.keep(resources.css_refs(resources.sheet_bodies(sheets, assets)), "inner")
     children = scratch.keep(resources.css_child_refs(sheets, inner), "css_refs")
@@ -91,11 +100,7 @@ def mirror_pages(
 
     ``asked(site, ok)`` has the pages that were asked for, failed ones too, for the totals; without it
     the given pages count."""
-    order = number_rows(pages.select("site", "url", "page_order"), ["page_order", "url", "site"], scratch)
-    order = scratch.keep(order, "order")
-    # Slices of the order hold about as many pages each only if its numbers are dense.
-    refs = elements.page_refs(pages).join(order, ["site", "url", "page_order"]).drop("page_order")
-    found = collect_assets(refs.withColumnRenamed("number", "page_order"), assets, FLAT, scratch)
+    found = collect_assets(elements.page_refs(pages), assets, FLAT, scratch, dense=False)
     edits = rewrite.asset_edits(found.matched, FLAT, consolidate)
     names = flat_names(pages)
     html = rewrite.apply_edits(pages, edits)

@@ -200,9 +200,13 @@ def test_visited_pages_stay_where_they_lie(spark):
         visited = seen.append(spark.createDataFrame(rows, "site string, url string, depth int"), ["site", "url"])
     assert visited.count() == 120 and visited.filter("depth = 1").count() == 40
     reached = spark.createDataFrame([("s0", "u0"), ("s0", "u0"), ("s2", "u100"), ("s1", "new"), ("s2", "u0")], "site string, url string").distinct()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(crawl.unvisited(reached, visited).collect()) == [("s1", "new"), ("s2", "u0")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     left = crawl.unvisited(reached, visited)
     assert sorted(left.collect()) == [("s1", "new"), ("s2", "u0")]
     plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     scratch.drop()
 
