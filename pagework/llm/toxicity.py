@@ -12,7 +12,6 @@ clean windows, which is taken from the clean texts of the sample.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +32,8 @@ EPOCHS, DOCS_A_STEP, RATE = 3, 32, 5e-3
 LEAST_STEPS = 300
 #: Words in fewer texts of the sample are hidden from the fit, which would learn texts by heart from them.
 LEAST_TEXTS = 3
+#: Windows whose states are held at once for the backward pass of a step, about 12 kB each.
+WINDOWS_HELD = 8192
 #: Clean texts that the evidence of a clean window is measured on, and how often it is taken off.
 QUIET_TEXTS, QUIET_TIMES = 1000, 2.0
 
@@ -166,14 +167,30 @@ class Network:
         """Loss and gradients over some texts; ``flat`` numbers their words end to end."""
         x, (word, bucket, owner, share) = self.inputs(words)
         ids, inside = _grid(flat, *(w := windows(lengths))[:2])
+        table = self.project(x)
+        # Many windows are gone through in blocks, forward once more for each: what the backward pass needs of a
+        # block is all that is held.
+        blocks = [slice(i, i + WINDOWS_HELD) for i in range(0, len(ids), WINDOWS_HELD)]
         keep: list = []
-        logit = self.forward(self.project(x), ids, inside, keep)
+        if len(blocks) == 1:
+            logit = self.forward(table, ids, inside, keep)
+        else:
+            logit = np.concatenate([self.forward(table, ids[b], inside[b]) for b in blocks])
         evidence = np.bincount(w[2], weights=np.logaddexp(0, logit), minlength=len(lengths))
         prob = np.clip(-np.expm1(-evidence), 1e-7, 1 - 1e-7)
         loss = -np.mean(np.where(label > 0, np.log(prob), np.log1p(-prob)))
         d_evidence = np.where(label > 0, -(1 - prob) / prob, 1.0) / len(lengths)
         d_logit = (d_evidence[w[2]] * _sigmoid(logit)).astype(np.float32)
-        g, d_table = self.backward(d_logit, len(words), ids, inside, keep)
+        if len(blocks) == 1:
+            g, d_table = self.backward(d_logit, len(words), ids, inside, keep)
+        else:
+            g, d_table = {k: np.zeros_like(v) for k, v in self.p.items()}, np.zeros((len(words), 2, 3 * HIDDEN), np.float32)
+            for b in blocks:
+                self.forward(table, ids[b], inside[b], keep := [])
+                more, d_more = self.backward(d_logit[b], len(words), ids[b], inside[b], keep)
+                d_table += d_more
+                for k, v in more.items():
+                    g[k] += v
         g["x"] = np.einsum("we,wdg->deg", x, d_table, optimize=True)
         g["xb"] = d_table.sum(axis=0)
         d_x = np.einsum("wdg,deg->we", d_table, self.p["x"], optimize=True)
@@ -190,9 +207,15 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    tokens = [t.split() for t in texts]
-    seen = Counter(w for t in tokens for w in set(t))
-    tokens = [[w if seen[w] >= LEAST_TEXTS else b"" for w in t] for t in tokens]
+    # The words of the texts are held as numbers of distinct words; one bytes object for each would be many times that.
+    known: dict[bytes, int] = {b"": 0}
+    tokens = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int32) for t in texts]
+    seen = np.zeros(len(known), np.int64)
+    for t in tokens:
+        seen[np.unique(t)] += 1
+    vocabulary = list(known)
+    del known
+    tokens = [np.where(seen[t] >= LEAST_TEXTS, t, 0) for t in tokens]
     steps, an_epoch = 0, -(-len(texts) // DOCS_A_STEP)
     epochs = max(epochs, -(-LEAST_STEPS // an_epoch))
     total = epochs * an_epoch
@@ -200,8 +223,8 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
         order = rng.permutation(len(texts))
         for at in range(0, len(order), DOCS_A_STEP):
             some, number = order[at : at + DOCS_A_STEP], {}
-            flat = np.array([number.setdefault(w, len(number)) for i in some for w in tokens[i]], np.int64)
-            words = list(number) or [b""]
+            flat = np.array([number.setdefault(w, len(number)) for i in some for w in tokens[i].tolist()], np.int64)
+            words = [vocabulary[w] for w in number] or [b""]
             _, g = net.step_gradients(words, flat, [len(tokens[i]) for i in some], label[some])
             steps += 1
             rate = RATE * (1 - 0.9 * steps / total) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
@@ -212,7 +235,9 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = EPOC
                 second[k] += 0.001 * (v * v - second[k])
                 net.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
     clean = [t for t, y in zip(texts, label) if y == 0][:QUIET_TEXTS]
-    evidence = _Scorer(net).evidence(clean)[0]
+    # A few texts at a time: the letters of all their new words are held at once.
+    scorer = _Scorer(net)
+    evidence = np.concatenate([scorer.evidence(clean[at : at + DOCS_A_STEP])[0] for at in range(0, len(clean), DOCS_A_STEP)])
     net.quiet = float(evidence.mean())
     return net
 
