@@ -1,15 +1,19 @@
 import glob
 import random
+import re
 from collections import Counter
 from hashlib import md5
 
 from pyspark.sql import functions as F
 
+from pagework.functions import paths
 from pagework.functions.paths import FLAT, TREE
-from pagework.operators import resources
+from pagework.operators import resources, variants
 from pagework.operators.joins import hot_keys_of
 from pagework.operators.ordering import SLICE_PAGES
 from pagework.sources.scratch import Scratch
+from tests.test_round5 import made_tables, plan_of, written_plans
+from workload import queries
 
 
 def executed(df):
@@ -83,3 +87,42 @@ def test_the_place_of_first_sight_holds_no_address(spark):
     first = resources.first_seen(refs).select("first.*")
     assert first.columns == ["page_order", "rank", "pos", "cand_pos", "sub_pos", "kind"]
     assert resources.first_order("url") == [*(f"first.{c}" for c in first.columns[:-1]), "url", "first.kind"]
+
+
+def test_parts_of_names_need_no_pattern(spark):
+    names = ["a.b", "a", "", ".a", "..a", "..a.b", "...", "a.", "a..", ".a.b.c", "a\n.b\n", "é.ü", "a/b.c/d", "/", "/a", "a/", "a.b/c", "\U0001f600.x", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    of = df.select("n", paths.stem_of(F.col("n")), paths.suffix_of(F.col("n")), paths.folder_of(F.col("n")))
+    assert "regexp" not in executed(of)
+
+    def want(n):
+        if n is None:
+            return None, None, None, None
+        found = re.search(r"\A(\.*[^.].*)(\.[^.]*)\Z", n, re.S)
+        return n, found[1] if found else n, found[2] if found else "", n.rsplit("/", 1)[0] if "/" in n else ""
+
+    assert [tuple(r) for r in of.collect()] == [want(n) for n in names]
+
+
+def test_text_of_languages_meets_its_addresses_once(spark):
+    pages = [("s", "https://h/a?lang=en", 0, "A"), ("s", "https://h/a?lang=fr", 0, "B"), ("s", "https://h/b?lang=fr", 1, "C"), ("t", "https://h/a?lang=en", 2, "D")]
+    pages = spark.createDataFrame(pages, "site string, url string, page_order long, html string")
+    seeds = spark.createDataFrame([("s", "https://h/a"), ("s", "https://h/b"), ("t", "https://h/a"), (None, "https://h/a")], "site string, base_url string")
+    found = variants.language_pages(pages, seeds, ["en", "fr"])
+    joins = re.findall(r"Join (\w+)", plan_of(found))
+    assert joins[0] == "Inner"
+    assert sorted((r.site, r.base_url, r.lang, r.lang_no, r.html) for r in found.collect()) == [
+        ("s", "https://h/a", "en", 0, "A"), ("s", "https://h/a", "fr", 1, "B"), ("t", "https://h/a", "en", 0, "D")
+    ]
+
+
+def test_language_pages_are_made_once(spark, tmp_path):
+    assert "l_orderkey" not in plan_of(queries._own_sites(spark, made_tables(spark, tmp_path)))
+
+
+def test_matched_references_are_not_written(spark, tmp_path, monkeypatch):
+    folder = made_tables(spark, tmp_path)
+    plans = written_plans(monkeypatch)
+    assert queries.first_of_kind(spark, folder).count() > 0
+    names = [name for name, _ in plans]
+    assert "refs" in names and "matched" not in names and names.count("refs") == 1
